@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loamdex.llm import packing, simhash, tiff, toxicity, warc
+from loamdex.llm import packing, quality, simhash, tiff, toxicity, warc
 from loamdex.llm.common import crc_mod
 
 
@@ -31,6 +31,13 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    field = quality.fit(docs, table(spark, sf_dir, "labels"), "quality", modulus=5, held_out=0)
+    held_out, predicted = crc_mod("doc_id", 5) == 0, (F.col("score") >= 0.3).cast("int")
+    return quality.score(docs, field).select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
