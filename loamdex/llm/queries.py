@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loamdex.llm import hnsw, packing, quality, simhash, tiff, toxicity, warc
+from loamdex.llm import hnsw, packing, quality, secret_scan, simhash, tiff, toxicity, warc
 from loamdex.llm.common import crc_mod
 
 
@@ -26,6 +26,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["number"] < len(secret_scan.BASE))
+    count = lambda i: F.size(F.filter("spans", lambda x: x["number"] == i)).cast("long")
+    counts = {f"n_{r.kind}": count(i) for i, r in enumerate(secret_scan.BASE)}
+    lists = {"base_sha256": F.sha2(secret_scan.listed(base), 256), "spans": secret_scan.listed("spans")}
+    return found.select("doc_id", *[(counts | lists)[c].alias(c) for c in counts | lists])
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
