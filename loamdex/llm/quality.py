@@ -187,11 +187,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     return calibrate(field, [t for t, x in zip(texts, use, strict=True) if x], y[use], np.ones(int(use.sum())))
 
 
-def score(docs: DataFrame, field: LineField | None, keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (doc_id) and score of every row. Null and empty texts count as one blank line.
+def score(docs: DataFrame, field: LineField | None, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The kept columns (doc_id) and the score of every row, in a column called ``name``. Null and empty texts count as one blank line.
 
     Without a field (no labels of both kinds) every score is 1, so a filter drops nothing. Null ids and
-    repeated rows stay. Kept columns named ``score`` must be renamed first.
+    repeated rows stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)  # some kB, whatever the input
     keep = keep or ["doc_id"]
@@ -203,8 +203,8 @@ def score(docs: DataFrame, field: LineField | None, keep: list[str] | None = Non
                 part = b.slice(start, 256)
                 texts = part.column(at).to_pylist()
                 p = shared.value.scores(texts) if shared.value else np.ones(len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(p, pa.float64())], names=[*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(p, pa.float64())], names=[*keep, name])
 
     rows = docs.select(*keep, *([] if "text" in keep else [F.col("text").cast("string").alias("text")]))
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{fields}, score double")
+    return rows.mapInArrow(run, f"{fields}, `{name}` double")

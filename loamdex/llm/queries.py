@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loamdex.llm import hnsw, packing, quality, secret_scan, simhash, tiff, toxicity, warc
+from loamdex.llm import hnsw, mixing, packing, quality, secret_scan, simhash, tiff, toxicity, warc
 from loamdex.llm.common import crc_mod
 
 
@@ -65,6 +65,17 @@ def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+#: Production targets: shares of all tokens by domain of the labels table.
+MIX_TARGETS = {"clean": 0.96, "noisy": 0.02, "toxic": 0.02}
+
+
+def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = mixing.label_domains(table(spark, sf_dir, "labels"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), labelled, MIX_TARGETS)
+    shares = [F.get("posteriors", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(MIX_TARGETS)]
+    return mixed.select("doc_id", "tokens", *shares, "rate")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -89,3 +89,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, most: int = 3, seed: int =
     to = linked.join(reach, "component").select("fp", "component_id")
     known = distinct.join(to, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return marked.join(known, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, most: int = 3, seed: int = 42) -> DataFrame:
+    """The documents without near-duplicates: of each component the row with the smallest doc_id stays.
+
+    Of rows that repeat a doc_id one stays. Rows with a null id cannot be told apart and all stay.
+    """
+    found = near_duplicates(docs, words, most, seed)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return known.unionByName(docs.where("doc_id is null")).select(*docs.columns)
