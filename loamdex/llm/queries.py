@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loamdex.llm import hnsw, mixing, packing, quality, secret_scan, simhash, tiff, toxicity, warc
+from loamdex.llm import hnsw, licenses, mixing, packing, quality, secret_scan, simhash, tiff, toxicity, warc
 from loamdex.llm.common import crc_mod
 
 
@@ -60,6 +60,14 @@ def op7_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths: they stand in a tree by source and id, and every fourth is named LICENSE."""
+    up = lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    name = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("LICENSE."), "doc_id")).otherwise(F.concat(F.lit("page"), "doc_id", F.lit(".txt")))
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", up(16384), up(1024), name))
+    return licenses.inherit(licenses.scan(docs))
+
+
 def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return hnsw.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
