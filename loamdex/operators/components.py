@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "components")
-        s = now.agg(F.count("*").alias("n"), F.sum(F.col("u").cast("decimal(38,0)")).alias("a"), F.sum(F.col("v").cast("decimal(38,0)")).alias("b"), F.count_distinct("u").alias("d")).first()
+        s = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u").cast("decimal(38,0)")).alias("a"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("b"), F.count_distinct("u").alias("d")).first()
         if s == state and s["n"] == s["d"]:
             break
         state = s
