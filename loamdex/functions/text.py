@@ -128,7 +128,7 @@ def safe_name(name: str | Column, most: int = 120) -> Column:
 
 def occurs(name: Column, text: Column) -> Column:
     """Whether a name stands in a text as a whole ASCII word."""
-    return F.lower(text).rlike(F.concat(F.lit(r"(?<![0-9a-z_])\Q"), F.lower(name), F.lit(r"\E(?![0-9a-z_])")))
+    return F.rlike(F.lower(text), F.concat(F.lit(r"(?<![0-9a-z_])\Q"), F.lower(name), F.lit(r"\E(?![0-9a-z_])")))
 
 
 def top_folder(path: str | Column) -> Column:
