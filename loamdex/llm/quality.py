@@ -3,8 +3,8 @@
 Every line that is not blank is a state, good or bad. Its features are those of the line itself, in bins,
 and the plain values of the lines before and after it. Forward-backward gives each line's probability of
 being good; a document's quality is their mean weighted by line length, mapped to a probability by a logistic
-curve. Only document labels are known: lines first take their document's label; then the lines of bad
-documents that the field itself finds good are relabelled, and it is trained once more.
+curve. Only document labels are known: lines first take their document's label and are fitted each for itself;
+lines of bad documents that look like those of good ones turn good, and the chain is trained on the result.
 """
 
 from __future__ import annotations
@@ -138,22 +138,29 @@ def train(texts: list[str], y: np.ndarray) -> LineField:
     starts = np.cumsum(counts) - counts
     inner = np.ones(len(line), bool)
     inner[starts] = False
-    w, trans = np.zeros(X.shape[1], np.float32), np.zeros((2, 2))
-    for _ in range(2):
+    alone = np.zeros(X.shape[1], bool)
+    alone[: values.shape[1] * (edges.shape[1] + 2)] = True  # a line's own bins and values, no neighbours
+    alone[-1] = True
+    for chained in (False, True):
+        # first each line for itself, without neighbours and transitions; then the chain on the lines relabelled by that
+        w, trans = np.zeros(X.shape[1], np.float32), np.zeros((2, 2))
         m, v, mt, vt = np.zeros_like(w), np.zeros_like(w), np.zeros((2, 2)), np.zeros((2, 2))
         known = np.zeros((2, 2))
         np.add.at(known, (line[:-1].astype(int)[inner[1:]], line[1:].astype(int)[inner[1:]]), 1)
         for t in range(1, STEPS + 1):
-            good, moves = forward_backward(X @ w, counts, trans)
+            score = X @ w
+            good, moves = forward_backward(score, counts, trans) if chained else (1 / (1 + np.exp(-np.clip(score, -30, 30))), known)
             g = X.T @ ((good - line) * weight).astype(np.float32) / len(docs) + PENALTY * w
+            g = g if chained else g * alone
             gt = (moves - known) / max(1, len(line)) + PENALTY * trans
             m, v, mt, vt = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mt + 0.1 * gt, 0.99 * vt + 0.01 * gt * gt
             w = (w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
             trans = trans - RATE * (mt / (1 - 0.9**t)) / (np.sqrt(vt / (1 - 0.99**t)) + 1e-8)
-        # lines of bad documents that are clearly better than the worst of their document turn good
-        good, _ = forward_backward(X @ w, counts, trans)
-        worst = np.repeat(np.minimum.reduceat(good, starts), counts)
-        line = np.where((own == 0) & (good > 0.5) & (good > worst + 0.1), 1.0, own.astype(float))
+        if not chained:
+            # lines of bad documents that look like those of good ones turn good, but never the worst of a document
+            good = 1 / (1 + np.exp(-np.clip(X @ w, -30, 30)))
+            worst = np.repeat(np.minimum.reduceat(good, starts), counts)
+            line = np.where((own == 0) & (good > 0.5) & (good > worst), 1.0, own.astype(float))
     return LineField(edges, w, trans)
 
 
