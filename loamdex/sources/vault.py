@@ -51,7 +51,7 @@ def documents(spark: SparkSession, root: str, folders: tuple[str, ...] = (), rul
     block, text = X.frontmatter("raw"), X.body("raw")
     date, source = X.dated(F.col("block"))
     kind, agent = origin(F.col("block"), F.col("path"))
-    bad = F.col("raw").isNull() | F.col("raw").contains("�")
+    bad = F.col("raw").isNull() | ~F.is_valid_utf8("raw")
     out = f.where(~skipped("path", folders=folders)).withColumns({"block": block, "text": text})
     title = X.field(F.col("block"), "title")
     return out.select(
