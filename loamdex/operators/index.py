@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from loamdex import schema as S
 from loamdex.functions import text as X
+from loamdex.session import spread
 
 
 def chunk_table(docs: DataFrame, size: int = S.CHUNK_SIZE, overlap: int = S.CHUNK_OVERLAP, keep_blank: bool = False) -> DataFrame:
     """doc_id, seq, chunk_id, char_start, text and the document's origin, where it has one."""
     more = ["origin"] if "origin" in docs.columns else []
-    parts = docs.select("doc_id", *more, F.inline(X.windows("text", size, overlap, keep_blank)))
+    parts = spread(docs.select("doc_id", "text", *more)).select("doc_id", *more, F.inline(X.windows("text", size, overlap, keep_blank)))
     return parts.select("doc_id", "seq", (F.col("doc_id").cast("long") * 10000 + F.col("seq")).alias("chunk_id"), "char_start", "text", *more)
 
 

@@ -14,16 +14,18 @@ from loamdex.functions import text as X
 def bm25(chunks: DataFrame, query: str, k1: float = S.K1, b: float = S.B, binary: bool = False) -> DataFrame:
     """doc_id, chunk_id, score of the chunks that have any term of the query.
 
-    Only the query's terms are counted, in columns, so no posting is shuffled: one pass sums the document
-    frequencies to a single row, a second scores against it.
+    Only the query's terms are looked at, so no posting is shuffled: one pass tells which chunks have which term
+    and sums that to a single row, a second counts and scores the terms of the chunks that have any.
     """
     found = X.query_terms(query)
     if not found:
         return chunks.select("doc_id", "chunk_id", F.lit(0.0).alias("score")).limit(0)
-    low = chunks.select("doc_id", "chunk_id", X.ngram_count("text").alias("n"), F.lower("text").alias("_low"))
-    counts = [F.when(F.contains("_low", F.lit(t)), X.occurrences("_low", t, folded=True)).otherwise(0) for t in found]
-    counted = low.select("doc_id", "chunk_id", "n", F.array(*counts).alias("tf"))
-    totals = counted.agg(F.count("*").alias("chunks"), F.sum("n").alias("tokens"), F.array(*[F.sum((F.get("tf", F.lit(i)) > 0).cast("long")) for i in range(len(found))]).alias("df"))
+    # made by a generator, so that no rule of the optimizer folds the text once more for each term
+    low = chunks.select("doc_id", "chunk_id", F.inline(F.array(F.struct(X.ngram_count("text").alias("n"), F.lower("text").alias("_low")))))
+    has = [F.contains("_low", F.lit(t)) for t in found]
+    totals = low.agg(F.count("*").alias("chunks"), F.sum("n").alias("tokens"), F.array(*[F.count_if(h) for h in has]).alias("df"))
+    counts = [F.when(h, X.occurrences("_low", t, folded=True)).otherwise(0) for h, t in zip(has, found, strict=True)]
+    counted = low.select("doc_id", "chunk_id", "n", F.explode(F.array(F.array(*counts))).alias("tf"))
     hits = counted.where(F.exists("tf", lambda t: t > 0)).crossJoin(F.broadcast(totals))  # totals is one row
     mean = F.col("tokens") / F.col("chunks")
     norm = k1 * (1 - b + b * F.col("n") / mean)
