@@ -23,19 +23,16 @@ def bm25(chunks: DataFrame, query: str, k1: float = S.K1, b: float = S.B, binary
     # made by a generator, so that no rule of the optimizer folds the text once more for each term
     low = chunks.select("doc_id", "chunk_id", F.inline(F.array(F.struct(X.ngram_count("text").alias("n"), F.lower("text").alias("_low")))))
     has = [F.contains("_low", F.lit(t)) for t in found]
-    totals = low.agg(F.count("*").alias("chunks"), F.sum("n").alias("tokens"), F.array(*[F.count_if(h) for h in has]).alias("df"))
+    seen = low.agg(F.count("*").alias("chunks"), F.sum("n").alias("tokens"), F.array(*[F.sum(h.cast("long")) for h in has]).alias("df"))
+    idf = F.transform("df", lambda d: F.log((F.col("chunks") - d + 0.5) / (d + 0.5) + 1))
+    totals = seen.select((F.col("tokens") / F.col("chunks")).alias("mean"), idf.alias("idf"))
     counts = [F.when(h, X.occurrences("_low", t, folded=True)).otherwise(0) for h, t in zip(has, found, strict=True)]
     counted = low.select("doc_id", "chunk_id", "n", F.explode(F.array(F.array(*counts))).alias("tf"))
     hits = counted.where(F.exists("tf", lambda t: t > 0)).crossJoin(F.broadcast(totals))  # totals is one row
-    mean = F.col("tokens") / F.col("chunks")
-    norm = k1 * (1 - b + b * F.col("n") / mean)
-    parts = []
-    for i in range(len(found)):
-        tf, df = F.get("tf", F.lit(i)).cast("double"), F.get("df", F.lit(i))
-        tf = F.when(tf > 0, 1.0).otherwise(0.0) if binary else tf
-        idf = F.log((F.col("chunks") - df + 0.5) / (df + 0.5) + 1)
-        parts.append(F.when(tf > 0, idf * tf * (k1 + 1) / (tf + norm)).otherwise(0.0))
-    return hits.select("doc_id", "chunk_id", reduce(lambda x, y: x + y, parts).alias("score"))
+    norm = k1 * (1 - b + b * F.col("n") / F.col("mean"))
+    tf = (lambda t: F.lit(1.0)) if binary else (lambda t: t.cast("double"))
+    parts = F.zip_with("tf", "idf", lambda t, w: F.when(t > 0, w * tf(t) * (k1 + 1) / (tf(t) + norm)).otherwise(0.0))
+    return hits.select("doc_id", "chunk_id", F.aggregate(parts, F.lit(0.0), lambda s, x: s + x).alias("score"))
 
 
 def best_per_doc(hits: DataFrame) -> DataFrame:
