@@ -17,6 +17,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loamdex.session import stored
+
 WORD = re.compile(r"[a-z0-9]+(?:[.-][0-9]+)*")
 LEAST_COSINE, LIKE, LONG_LINE, WINDOW = 0.6, 0.5, 60, 32
 #: Share of a text's words in licence-like units from which it is a licence file whatever its name.
@@ -150,7 +152,7 @@ def inherit(scanned: DataFrame) -> DataFrame:
     nothing. Directories are joined as distinct rows, so files of one directory cost the same as one.
     """
     is_file = F.col("own").isNotNull() & (F.coalesce(F.regexp_extract("path", r"[^/]*$", 0).rlike(FILE_NAME), F.lit(False)) | (F.col("share") >= FILE_SHARE))
-    marked = scanned.withColumns({"dir": directory("path"), "is_file": is_file})
+    marked = stored(scanned.withColumns({"dir": directory("path"), "is_file": is_file}), "licences")  # read three times below
     owners = marked.where("is_file and path is not null").groupBy("dir").agg(F.min(F.struct("path", "own")).alias("owner"))
     dirs = marked.where("own is null and path is not null").select("dir").distinct()
     parts = F.split("dir", "/")
