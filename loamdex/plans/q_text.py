@@ -9,6 +9,7 @@ from loamdex.operators import extract, transcripts
 from loamdex.plans import views as V
 from loamdex.plans.q_search import chunk_cte, chunks
 from loamdex.plans.registry import query
+from loamdex.session import spread
 from loamdex.sources import records, sinks, vault
 
 
@@ -94,7 +95,7 @@ def mask_secrets(spark, sf):
 
 @query("leak_counts", "SELECT 'AWS_KEY' AS name, count(*) AS n FROM documents WHERE regexp_matches(text, '\\bAKIA[0-9A-Z]{16}\\b') HAVING count(*) > 0 UNION ALL SELECT 'GENERIC_SECRET', count(*) FROM documents WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9])(api[_\\-]?key|access[_\\-]?token|client[_\\-]?secret|password|passwd|token|secret|key)[\"'']?\\s*[=:]\\s*[\"'']?[A-Za-z0-9_\\-/+=]{16,}') HAVING count(*) > 0")
 def leak_counts(spark, sf):
-    return V.table(spark, sf, "documents").select(F.explode(masking.leaks("text")).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    return spread(V.table(spark, sf, "documents").select("text")).select(F.explode(masking.leaks("text")).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
 
 
 @query("noise_filter", r"""WITH s AS (SELECT conv_id, turn, trim(text, E' \t\r\n') AS s FROM conversations), h AS (SELECT *, string_split(s, E'\n')[1:20] AS head FROM s) SELECT conv_id, turn FROM h WHERE NOT (length(s) < 40 OR len(list_filter(head, lambda x: regexp_matches(x, '^\s*(\d+[\t→|]|\|.*\||[-=_*]{3,}\s*$|[+-]{3} )'))) >= greatest(3.0, len(head) * 0.5))""")
