@@ -38,3 +38,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     for r in sorted(rows, key=lambda r: (r.doc_id, r.text)):
         seen.setdefault(r.doc_id, (r.text, r.y))
     return list(seen.values())
+
+
+def text_hash(text_col: str = "text") -> Column:
+    """A hash of the text (null: empty) that tells rows of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def first_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of each root the document with the smallest ``least`` (doc_id, _th), once; documents with a null id all stay.
+
+    ``groups`` has root, least of every group of copies; a null least stands for null ids alone.
+    """
+    first = groups.groupBy("root").agg(F.min("least").alias("least")).where("least is not null").select("least.doc_id", "least._th")
+    known = docs.where("doc_id is not null").withColumn("_th", text_hash()).join(first, ["doc_id", "_th"], "left_semi").dropDuplicates(["doc_id", "_th"])
+    return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -21,22 +21,28 @@ from loamdex.session import stored
 BITS, HALF = 64, 32
 
 
-def fingerprint(text: bytes, words: int, seed: int = 42) -> int:
-    """The signed 64-bit fingerprint of UTF-8 text; zero without a word."""
+def shingles(text: bytes, words: int, seed: int = 42) -> list[int]:
+    """XXH64 values of the word shingles of UTF-8 text in order; none without a word, one of a text of at most ``words``."""
     import xxhash
 
     parts = text.lower().split()  # of bytes: A-Z alone, and exactly \\x20 and \\x09-\\x0D
     if not parts:
-        return 0
+        return []
     h = xxhash.xxh64_intdigest
+    joined = b" ".join(parts)
     if len(parts) <= words:
-        values = [h(b" ".join(parts), seed)]
-    else:
-        joined = b" ".join(parts)
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
-        ends = np.cumsum(sizes)
-        starts, stops = (ends - sizes)[: len(parts) - words + 1].tolist(), (ends - 1)[words - 1 :].tolist()
-        values = [h(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)]
+        return [h(joined, seed)]
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+    ends = np.cumsum(sizes)
+    starts, stops = (ends - sizes)[: len(parts) - words + 1].tolist(), (ends - 1)[words - 1 :].tolist()
+    return [h(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)]
+
+
+def fingerprint(text: bytes, words: int, seed: int = 42) -> int:
+    """The signed 64-bit fingerprint of UTF-8 text; zero without a word."""
+    values = shingles(text, words, seed)
+    if not values:
+        return 0
     count = np.zeros(BITS, np.int64)
     for at in range(0, len(values), 1 << 14):  # a block at a time: bounded memory for any text
         block = np.array(values[at : at + (1 << 14)], "<u8").view(np.uint8).reshape(-1, 8)

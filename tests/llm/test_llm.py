@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from loamdex.llm import common, hnsw, licenses, mixing, packing, quality, secret_scan, simhash, tiff, toxicity, warc
+from loamdex.llm import common, hnsw, licenses, minhash, mixing, packing, quality, secret_scan, simhash, tiff, toxicity, warc
 from loamdex.session import scratch_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, path string, component_id long"
@@ -140,6 +140,40 @@ def test_one_of_each_and_empty(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_minhash_finds_every_similar_pair(spark):
+    rng = random.Random(11)
+    texts = list(BASE)
+    for _ in range(30):
+        w = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(30, 300))]
+        for _ in range(5):
+            v = list(w)
+            for _ in range(rng.randrange(0, max(2, len(w) // 25))):
+                v[rng.randrange(len(v))] = f"x{rng.randrange(3000)}"
+            texts.append(" ".join(v))
+    sets = [frozenset(simhash.shingles((t or "").encode(), 5)) for t in texts]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    assert sum(a != b and alike(a, b) for i, a in enumerate(sets) for b in sets[:i]) > 50
+    reach = list(range(len(sets)))
+    for _ in sets:
+        new = [min(reach[j] for j, b in enumerate(sets) if alike(a, b)) for a in sets]
+        if new == reach:
+            break
+        reach = new
+    kept = [r["doc_id"] for r in minhash.one_of_each(table(spark, texts)).collect()]
+    assert sorted(i for i in kept if i is not None) == sorted(set(reach)) and kept.count(None) == 1
+    assert minhash.one_of_each(empty(spark)).count() == 0
+
+
+def test_near_dedup_stage_drops_copies_of_similarity_over_08(spark):
+    import corpus_pipeline as cp
+
+    words = [f"w{i}" for i in range(300)]
+    changed = [w if i % 100 else "other" for i, w in enumerate(words)]
+    half = [w if i % 10 else "other" for i, w in enumerate(words)]
+    kept = cp.near_dedup(spark, table(spark, [" ".join(words), " ".join(changed), " ".join(half)], False), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 2]
+
+
 # --- op3 -------------------------------------------------------------------------------------------
 def test_secret_scan(spark):
     texts = BASE + ["é\U0001f600 API-KEY='abcdefgh12' apikey=12345678 akia AKIA123 AKIAAKIA0000000000", "deadbeef" * 4, "0" * 31 + "g" + "f" * 40, "-----BEGIN RSA PRIVATE KEY----- ghp_" + "a" * 36, "TOKEN:" + "b" * 9, "password=token: abcdefghijk"]
