@@ -45,9 +45,11 @@ BASE = [
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16, scan=r"AKIA[A-Z0-9]{12,}"),
     Rule("hex", r"[0-9a-f]+", 0, 32, scan=r"[0-9a-f]{32,}"),
 ]
+PEM = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]{0,20}PRIVATE KEY-----|"
 # Public formats of further credentials.
 MORE = [
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    # the whole block; without an END marker, to the end of the text
+    Rule("private_key", PEM + r"\Z)", scan=PEM + r"\z)"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),

@@ -199,6 +199,16 @@ def test_redact(spark):
     assert out[3]["text"] is None and out[0]["text"] == BASE[0] and secret_scan.redact(d).columns == d.columns
 
 
+def test_redact_takes_the_whole_private_key(spark):
+    body = "\n".join("MIIEpAIBAAKCAQEA" + c * 40 for c in "XYZ")
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    texts = [f"before\n{key}\nafter", f"before\n-----BEGIN PRIVATE KEY-----\n{body}\n", f"a {key} b {key} c", "plain"]
+    got = {r["doc_id"]: r["text"] for r in secret_scan.redact(table(spark, texts, False)).where("doc_id > 0 or doc_id = 0").collect()}
+    assert got == {0: "before\n[REDACTED:private_key]\nafter", 1: "before\n[REDACTED:private_key]", 2: "a [REDACTED:private_key] b [REDACTED:private_key] c", 3: "plain"}
+    found = {r["doc_id"]: [(x["start"], x["number"], x["end"]) for x in r["spans"]] for r in secret_scan.scan(table(spark, texts, False)).collect()}
+    assert all(found[i] == secret_scan.python_spans(t) for i, t in enumerate(texts))
+
+
 # --- op4 -------------------------------------------------------------------------------------------
 def test_warc(spark):
     nested = warc.record(1, "u", b"inner", None).decode("latin-1")
