@@ -72,6 +72,24 @@ def test_masking(spark):
         masking.refuse_leaks(spark.createDataFrame([(text,)], "text string"))
 
 
+def test_every_restored_mask(spark):
+    value = "Abcdefgh12345678"
+    cases = [("ANTHROPIC_KEY", "see sk-ant-api03-" + "a" * 24), ("ANTHROPIC_OAUTH", "see sk-ant-oat01-" + "a" * 24)]
+    cases += [("KAL_TOKEN", f"see {before}kal_" + "a" * 32) for before in ("", "/u/", "%2F", "%252F", "\\n", "\\x2F", "\\u002F", "\ud1a0\ud070\uc740")]
+    cases += [("POSTMARK_TOKEN", "X-Postmark-Server-Token: " + "a1-" * 9)]
+    labels = "credential credentials pass pwd pw DB_PASS datadog dd-api dd_api accountkey secret_key auth-token refresh_token \ube44\ubc00\ubc88\ud638 \uc554\ud638".split()
+    cases += [("GENERIC_SECRET", f'{label}={value}') for label in labels] + [("GENERIC_SECRET", f'{{"pwd": "{value}"}}')]
+    frame = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "i int, text string")
+    for r in masking.masked(frame).collect():
+        name, text = cases[r["i"]]
+        assert r["mask_counts"] == {name: 1} and f"[REDACTED:{name}]" in r["text"], text
+        assert value not in r["text"] and "kal_" not in r["text"] and "sk-ant" not in r["text"], text
+    assert all(cases[r["i"]][0] in r["names"] for r in frame.select("i", masking.leaks("text").alias("names")).collect())
+    kept = spark.createDataFrame([("file_kal_" + "a" * 32,), ("1Password:domain-key-acls-of-it",)], "text string")
+    assert all(r["mask_counts"] == {} for r in masking.masked(kept).collect())
+    assert masking.masked(spark.createDataFrame([("X-Postmark-Server-Token: " + "a1-" * 9,)], "text string")).first()["text"] == "X-Postmark-Server-Token: [REDACTED:POSTMARK_TOKEN]"
+
+
 def test_filter_language():
     assert filters.parse('a file:B -path:"c d" -') == [(False, "path", "a"), (False, "file", "b"), (True, "path", "c d")]
 
