@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loamdex.llm.common import first_of_each, text_hash
 from loamdex.operators.components import connected_components
 from loamdex.session import stored
 
@@ -50,16 +51,17 @@ def fingerprint(text: bytes, words: int, seed: int = 42) -> int:
     return int(np.packbits(count * 2 > len(values), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 5, seed: int = 42) -> DataFrame:
-    """doc_id, fp (long) of every row; null text is empty, a null id stays."""
+def fingerprints(docs: DataFrame, words: int = 5, seed: int = 42, hashed: bool = False) -> DataFrame:
+    """doc_id, fp (long) of every row, and _th (hash of the text) if ``hashed``; null text is empty, a null id stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint((t.as_py() or "").encode(), words, seed) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            more = b.columns[2:]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *more], names=["doc_id", "fp", "_th"][: 2 + len(more)])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([text_hash().alias("_th")] if hashed else []))
+    return rows.mapInArrow(run, "doc_id long, fp long" + (", _th long" if hashed else ""))
 
 
 def _halves() -> Column:
@@ -79,6 +81,12 @@ def links(distinct: DataFrame, most: int = 3) -> DataFrame:
     )
 
 
+def _linked(distinct: DataFrame, most: int) -> DataFrame:
+    """fp, component of the distinct fingerprints that have a link."""
+    pairs = stored(links(distinct.select("fp"), most).distinct(), "simhash-links")
+    return connected_components(pairs, "a", "b").withColumnRenamed("node", "fp")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, most: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fp, component_id of every row: the smallest doc_id that can be reached over links.
 
@@ -88,9 +96,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, most: int = 3, seed: int =
     """
     marked = stored(fingerprints(docs, words, seed), "simhash")
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    pairs = stored(links(distinct.select("fp"), most).distinct(), "simhash-links")
     # fingerprints without a link are their own component: the rounds below see linked ones alone
-    linked = connected_components(pairs, "a", "b").withColumnRenamed("node", "fp")
+    linked = _linked(distinct, most)
     reach = linked.join(distinct, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
     to = linked.join(reach, "component").select("fp", "component_id")
     known = distinct.join(to, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
@@ -100,9 +107,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, most: int = 3, seed: int =
 def one_of_each(docs: DataFrame, words: int = 5, most: int = 3, seed: int = 42) -> DataFrame:
     """The documents without near-duplicates: of each component the row with the smallest doc_id stays.
 
-    Of rows that repeat a doc_id one stays. Rows with a null id cannot be told apart and all stay.
+    Of rows that repeat a doc_id and text one stays; where texts of a component share its smallest doc_id, that of
+    the smallest text hash. Rows with a null id cannot be told apart and all stay.
     """
-    found = near_duplicates(docs, words, most, seed)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    marked = stored(fingerprints(docs, words, seed, hashed=True), "simhash")
+    nodes = stored(marked.groupBy("fp").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "_th"))).alias("least")), "simhash-distinct")
+    return first_of_each(docs, nodes.join(_linked(nodes, most), "fp", "left").select(F.coalesce("component", "fp").alias("root"), "least"))

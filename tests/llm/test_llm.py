@@ -140,6 +140,14 @@ def test_one_of_each_and_empty(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_one_of_each_of_repeated_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b = " ".join(words), " ".join(reversed(words))
+    d = spark.createDataFrame([(1, a), (5, a), (5, b), (5, b), (7, b)], "doc_id long, text string")
+    for kept in (simhash.one_of_each(d), minhash.one_of_each(d), simhash.one_of_each(d.orderBy(F.desc("doc_id"))), minhash.one_of_each(d.orderBy(F.desc("doc_id")))):
+        assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, a), (5, b)]
+
+
 def test_minhash_finds_every_similar_pair(spark):
     rng = random.Random(11)
     texts = list(BASE)
