@@ -124,21 +124,27 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], per_domain:
     return Classifier(domains, base, [r["term"] for r in best], [[math.log(s / (1 - s)) for s in own] for own in share])
 
 
-def rate(steps: list[list[float]]) -> Column:
-    """The rate of a row from its posteriors _p: the fold of all steps, from 1."""
+def rate(steps: list[list[float]], anchor: int | None = None) -> Column:
+    """The rate of a row from its posteriors _p: the fold of all steps, from 1.
+
+    With an ``anchor`` domain no rate is above 1, and rows of which it is the likeliest domain have rate 1.
+    """
     if not steps:
         return F.lit(1.0)
     moves = F.array(*[F.array(*[F.lit(float(v)) for v in e]) for e in steps])
     dot = lambda e: F.aggregate(F.zip_with("_p", e, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return F.aggregate(moves, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - dot(e)))
+    if anchor is None:
+        return F.aggregate(moves, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - dot(e)))
+    fold = F.aggregate(moves, F.lit(1.0), lambda r, e: F.least(F.lit(1.0), F.greatest(F.lit(0.0), r - dot(e))))
+    return F.when(F.get("_p", F.lit(anchor)) >= F.array_max("_p"), F.lit(1.0)).otherwise(fold)
 
 
 def fit(members: DataFrame, weights: list[float], steps: int = STEPS, tolerance: float = TOLERANCE, anchor: int | None = None) -> list[list[float]]:
     """Steps of the projected gradient for rows of (_tokens, _p), so that expected totals match ``weights`` of all tokens.
 
     Stops when all residuals are below ``tolerance`` of all tokens, or no longer shrink: targets that no
-    nonnegative rates reach are met as closely as least squares allow. With an ``anchor`` domain the total
-    grows, where needed, until the targets take no tokens from it.
+    nonnegative rates reach are met as closely as least squares allow. With an ``anchor`` domain its rows
+    are whole and the total follows its tokens: the other domains are thinned to their shares beside it.
     """
     d = len(weights)
 
@@ -148,15 +154,17 @@ def fit(members: DataFrame, weights: list[float], steps: int = STEPS, tolerance:
 
     natural = now = totals(F.lit(1.0))
     whole = sum(natural)
-    total = whole if anchor is None or not weights[anchor] else max(whole, natural[anchor] / weights[anchor])
-    target, out, last = [w * total for w in weights], [], math.inf
+    anchored = anchor is not None and weights[anchor] > 0
+    out, last = [], math.inf
     while whole and len(out) < steps:
-        off = max(abs(t - g) for t, g in zip(now, target, strict=True)) / whole
-        if off < tolerance or off > last * (1 - 1e-6):
+        total = now[anchor] / weights[anchor] if anchored else whole
+        off = [0.0 if anchored and i == anchor else g - w * total for i, (w, g) in enumerate(zip(weights, now, strict=True))]
+        most = max(map(abs, off)) / whole
+        if most < tolerance or most > last * (1 - 1e-6):
             break
-        last = off
-        out.append([(t - g) / a if a > 1e-9 * whole else 0.0 for t, g, a in zip(now, target, natural, strict=True)])
-        now = totals(rate(out))
+        last = most
+        out.append([o / a if a > 1e-9 * whole else 0.0 for o, a in zip(off, natural, strict=True)])
+        now = totals(rate(out, anchor))
     return out
 
 
@@ -171,8 +179,9 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: l
     plain = docs.select(*dict.fromkeys([*keep, "text"]))
     members = stored(model.apply(plain).select(*keep, "_tokens", "_p"), "mixing-members")
     weight = sum(targets.values())
-    steps = fit(members.select("_tokens", "_p"), [targets[d] / weight for d in domains], anchor=domains.index(anchor) if anchor else None)
-    return members.select(*keep, F.col("_tokens").alias("tokens"), F.col("_p").alias("posteriors"), rate(steps).alias("rate"))
+    at = domains.index(anchor) if anchor else None
+    steps = fit(members.select("_tokens", "_p"), [targets[d] / weight for d in domains], anchor=at)
+    return members.select(*keep, F.col("_tokens").alias("tokens"), F.col("_p").alias("posteriors"), rate(steps, at).alias("rate"))
 
 
 def realise(mixed: DataFrame, id_col: str = "doc_id", seed: int = 0, most_copies: int | None = None) -> DataFrame:

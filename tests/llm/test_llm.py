@@ -448,6 +448,23 @@ def test_projected_gradient_against_plain(spark):
     assert np.allclose(np.sort(got), np.sort(r))
 
 
+def test_anchored_mix_meets_its_targets(spark):
+    rng = random.Random(3)
+    vocabulary = {"clean": "river meadow stone winter letter garden", "noisy": "zxqv bkkp wwrt ggnn ptyy mmzz", "toxic": "moron idiot stupid loser trash scum"}
+    rows = []
+    for i in range(3000):
+        d = "clean" if i % 10 < 6 else "noisy" if i % 10 < 8 else "toxic"
+        rows.append((i, " ".join(rng.choice(vocabulary[d].split()) for _ in range(20)), d))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    targets = {"clean": 0.96, "noisy": 0.02, "toxic": 0.02}
+    mixed = mixing.mix(docs, docs.select("doc_id", "domain"), targets, ["doc_id", "domain"], anchor="clean")
+    kept = [r["domain"] for r in mixing.realise(mixed, most_copies=1).collect()]
+    shares = {d: kept.count(d) / len(kept) for d in targets}
+    assert kept.count("clean") >= 0.99 * 1800 and abs(shares["clean"] - 0.96) < 0.01, shares
+    bare = mixing.mix(docs, docs.select("doc_id", "domain").where("false"), targets, anchor="clean")
+    assert {r["rate"] for r in bare.collect()} == {1.0}
+
+
 # --- pipeline --------------------------------------------------------------------------------------
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as cp
