@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from loamdex.session import stored
+
+#: Rows up to which a list of ids is broadcast (about 12 MB); longer lists are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def crc_mod(column: str, modulus: int) -> Column:
@@ -15,12 +20,17 @@ def whole_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *m
     return df.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text_col), *more)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, modulus: int, held_out: int) -> list:
-    """A bounded training sample: (text, label) pairs, at most ``per_class`` rows of either label.
+#: Bytes of text that a training sample may bring to the driver.
+SAMPLE_BYTES = 64 << 20
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, modulus: int, held_out: int, most_bytes: int = SAMPLE_BYTES) -> list:
+    """A bounded training sample: (text, label) pairs, at most ``per_class`` rows of either label and ``most_bytes`` in all.
 
     Rows come from ``labels`` where crc32(doc_id) mod ``modulus`` is not ``held_out``, smallest
     xxhash64(doc_id) first, so the sample is the same on every run. Null ids and labels are left out;
-    of repeated labels of a document the largest counts.
+    of repeated labels of a document the largest counts, of several texts of an id the smallest. Each id
+    is one row before anything is collected; texts beyond the bytes are left out whole, none is cut.
     """
     known = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
@@ -30,14 +40,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     )
     picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     picked = picked[0].unionByName(picked[1])  # at most 2 * per_class short rows: a proven bound for the broadcast
-    rows = (
+    once = (
         docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
-        .join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").collect()
+        .join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
     )
-    seen: dict = {}
-    for r in sorted(rows, key=lambda r: (r.doc_id, r.text)):
-        seen.setdefault(r.doc_id, (r.text, r.y))
-    return list(seen.values())
+    # by rank within the class, so that both classes keep their share of the bytes; 2 * per_class rows at most
+    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    spent = F.sum(F.octet_length("text")).over(Window.partitionBy("y").orderBy("rank"))
+    rows = once.withColumn("rank", rank).withColumn("spent", spent).where(F.col("spent") <= most_bytes // 2).select("doc_id", "text", "y").collect()
+    return [(r.text, r.y) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
 
 
 def text_hash(text_col: str = "text") -> Column:
@@ -45,11 +56,20 @@ def text_hash(text_col: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
-def first_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+def first_of_each(docs: DataFrame, marked: DataFrame, groups: DataFrame) -> DataFrame:
     """Of each root the document with the smallest ``least`` (doc_id, _th), once; documents with a null id all stay.
 
-    ``groups`` has root, least of every group of copies; a null least stands for null ids alone.
+    ``marked`` has doc_id, _th of every document; ``groups`` has root, least of every group of copies, a null least
+    standing for null ids alone. Only the texts whose fate is not simply to stay are looked up: the ids that go, and
+    those that stand in several equal rows, are a short list, broadcast behind a count and joined by a shuffle beyond it.
     """
-    first = groups.groupBy("root").agg(F.min("least").alias("least")).where("least is not null").select("least.doc_id", "least._th")
-    known = docs.where("doc_id is not null").withColumn("_th", text_hash()).join(first, ["doc_id", "_th"], "left_semi").dropDuplicates(["doc_id", "_th"])
-    return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    first = groups.groupBy("root").agg(F.min("least").alias("least")).where("least is not null").select("least.doc_id", "least._th", F.lit(True).alias("first"))
+    rows = marked.where("doc_id is not null").groupBy("doc_id", "_th").agg(F.count("*").alias("n")).join(first, ["doc_id", "_th"], "left")
+    fate = rows.where("first is null or n > 1").select("doc_id", "_th", F.coalesce("first", F.lit(False)).alias("_repeated"))
+    fate = stored(fate, "fates")
+    small = fate.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    fate = F.broadcast(fate) if small else fate
+    whole = docs.select(F.struct("*").alias("_row"), F.col("doc_id"), text_hash().alias("_th"))
+    stays = whole.join(fate, ["doc_id", "_th"], "left_anti")
+    once = whole.join(fate.where("_repeated"), ["doc_id", "_th"], "left_semi").groupBy("doc_id", "_th").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+    return stays.select("_row").unionByName(once.select("_row")).select("_row.*")

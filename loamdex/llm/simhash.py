@@ -20,6 +20,8 @@ from loamdex.operators.components import connected_components
 from loamdex.session import stored
 
 BITS, HALF = 64, 32
+#: A fingerprint is hot if it has more than 1 / HOT_SHARE of all rows.
+HOT_SHARE = 1000
 
 
 def shingles(text: bytes, words: int, seed: int = 42) -> list[int]:
@@ -39,9 +41,8 @@ def shingles(text: bytes, words: int, seed: int = 42) -> list[int]:
     return [h(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)]
 
 
-def fingerprint(text: bytes, words: int, seed: int = 42) -> int:
-    """The signed 64-bit fingerprint of UTF-8 text; zero without a word."""
-    values = shingles(text, words, seed)
+def fold_bits(values: list[int]) -> int:
+    """The signed 64-bit fingerprint of shingle values: a bit is set where over half of them have it."""
     if not values:
         return 0
     count = np.zeros(BITS, np.int64)
@@ -51,6 +52,11 @@ def fingerprint(text: bytes, words: int, seed: int = 42) -> int:
     return int(np.packbits(count * 2 > len(values), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: bytes, words: int, seed: int = 42) -> int:
+    """The signed 64-bit fingerprint of UTF-8 text; zero without a word."""
+    return fold_bits(shingles(text, words, seed))
+
+
 def fingerprints(docs: DataFrame, words: int = 5, seed: int = 42, hashed: bool = False) -> DataFrame:
     """doc_id, fp (long) of every row, and _th (hash of the text) if ``hashed``; null text is empty, a null id stays."""
 
@@ -87,6 +93,22 @@ def _linked(distinct: DataFrame, most: int) -> DataFrame:
     return connected_components(pairs, "a", "b").withColumnRenamed("node", "fp")
 
 
+def classes(marked: DataFrame, most: int = 3) -> DataFrame:
+    """marked (doc_id, fp and more) with component_id: the smallest doc_id reachable over links of fingerprints within ``most`` bits."""
+    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
+    # fingerprints without a link are their own component: the rounds below see linked ones alone
+    linked = _linked(distinct, most)
+    reach = linked.join(distinct, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
+    to = linked.join(reach, "component").select("fp", "component_id")
+    known = stored(distinct.join(to, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")), "simhash-known")
+    # a fingerprint with over a HOT_SHARE-th of all rows is broadcast: there are fewer than HOT_SHARE of them whatever the
+    # input; all others are joined by a shuffle in which no key has more rows than that
+    whole = known.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(known.where(F.col("n") * HOT_SHARE > whole).drop("n"))
+    rest = marked.join(hot, "fp", "left_anti").join(known.where(F.col("n") * HOT_SHARE <= whole).drop("n"), "fp")
+    return marked.join(hot, "fp").unionByName(rest).select(*marked.columns, "component_id")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, most: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fp, component_id of every row: the smallest doc_id that can be reached over links.
 
@@ -94,14 +116,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, most: int = 3, seed: int =
     take the component of their fingerprint; a group of null ids alone has a null component. Repeated rows
     are repeated. An empty table gives no rows.
     """
-    marked = stored(fingerprints(docs, words, seed), "simhash")
-    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    # fingerprints without a link are their own component: the rounds below see linked ones alone
-    linked = _linked(distinct, most)
-    reach = linked.join(distinct, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
-    to = linked.join(reach, "component").select("fp", "component_id")
-    known = distinct.join(to, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(known, "fp").select("doc_id", "fp", "component_id")
+    return classes(stored(fingerprints(docs, words, seed), "simhash"), most)
 
 
 def one_of_each(docs: DataFrame, words: int = 5, most: int = 3, seed: int = 42) -> DataFrame:
@@ -112,4 +127,4 @@ def one_of_each(docs: DataFrame, words: int = 5, most: int = 3, seed: int = 42)
     """
     marked = stored(fingerprints(docs, words, seed, hashed=True), "simhash")
     nodes = stored(marked.groupBy("fp").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "_th"))).alias("least")), "simhash-distinct")
-    return first_of_each(docs, nodes.join(_linked(nodes, most), "fp", "left").select(F.coalesce("component", "fp").alias("root"), "least"))
+    return first_of_each(docs, marked, nodes.join(_linked(nodes, most), "fp", "left").select(F.coalesce("component", "fp").alias("root"), "least"))

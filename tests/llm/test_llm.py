@@ -172,6 +172,33 @@ def test_minhash_finds_every_similar_pair(spark):
     assert minhash.one_of_each(empty(spark)).count() == 0
 
 
+def test_a_large_group_of_near_copies_costs_a_row_a_member(spark, monkeypatch):
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(400):
+        w = list(base)
+        w[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += [f"{t} and a tail that is its own {i}" for i, t in enumerate(texts[:3])] + ["alone " * 3 + str(i) for i in range(5)]
+    tested, plain = [], minhash.verified
+    monkeypatch.setattr(minhash, "verified", lambda pairs, *more: (tested.append(pairs.count()), plain(pairs, *more))[1])
+    kept = minhash.one_of_each(table(spark, texts, False)).collect()
+    sets = [frozenset(simhash.shingles(t.encode(), 5)) for t in texts]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    reach = list(range(len(sets)))
+    while (new := [min(reach[j] for j, b in enumerate(sets) if alike(a, b)) for a in sets]) != reach:
+        reach = new
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(reach)) and len(kept) == 6
+    assert sum(tested) < 20 * len(texts), tested
+
+
+def test_hot_fingerprints_keep_their_rows(spark):
+    rows = [(i, 7 if i % 3 else i << 8) for i in range(9000)] + [(None, 7), (9001, 5)]
+    got = simhash.classes(spark.createDataFrame(rows, "doc_id long, fp long")).collect()
+    assert len(got) == len(rows) and {r["component_id"] for r in got if r["fp"] in (5, 7)} == {0}  # 0 is two bits from 5
+
+
 def test_near_dedup_stage_drops_copies_of_similarity_over_08(spark):
     import corpus_pipeline as cp
 
