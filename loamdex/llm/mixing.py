@@ -1,20 +1,21 @@
 """Mixing to target weights over soft domain membership, with DataFrame functions only.
 
-A Bernoulli naive Bayes classifier is trained on the labelled table and gives each document posteriors over
-domains. Document rates r >= 0 are then fitted by projected gradient: with n the tokens of a document and
-p its posteriors, the expected domain totals T_d(r) = sum of n * r * p_d are to equal the targets t_d. The
-squares of (T_d - t_d) are weighted by 1 / A_d, A_d being the totals at r = 1, and the gradient is taken in
-the metric of the token counts, where a step of one cannot overshoot: r <- max(0, r - sum of p_d (T_d - t_d) / A_d).
-The residuals of all steps are a few numbers on the driver, so each document's rate is a fold over them: a
-step is one aggregation, no rate is stored or shuffled.
+A Bernoulli naive Bayes classifier is trained on two thirds of the labelled sample and gives each document posteriors
+over domains; a temperature, chosen on the last third, makes them as sure as they are right. Document rates r >= 0 are
+then fitted by projected gradient: with n the tokens of a document and p its posteriors, the expected domain totals
+T_d(r) = sum of n * r * p_d are to equal the targets t_d. The gradient is taken in the metric of the token counts, and the
+squares of T - t are weighted by the inverse of H = sum of n * p * p' over the rows whose rate is above 0, so that a step
+without projection would meet the targets at once: r <- max(0, r - p' W (T - t)), W = H^-1. A step that leaves a larger
+residual is halved. The moves W (T - t) of all steps are a few numbers on the driver, so each document's rate is a fold
+over them: a step is one aggregation, no rate is stored or shuffled.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 import math
+from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loamdex.session import stored
@@ -23,7 +24,9 @@ from loamdex.session import stored
 SAMPLE_PER_DOMAIN, FEATURES, PREFIX = 2000, 192, 5
 #: How many times likelier a feature must be in some domain than in the rest; common words tell length, not domain.
 LIFT = 4.0
-STEPS, TOLERANCE = 40, 1e-5
+STEPS, HALVINGS, TOLERANCE = 40, 6, 1e-5
+#: Temperatures that the log posteriors may be divided by.
+TEMPERATURES = [1, 1.5, 2, 3, 4, 6, 8, 12, 16, 24]
 
 
 def words(text: str) -> Column:
@@ -31,16 +34,16 @@ def words(text: str) -> Column:
 
 
 def with_terms(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds _words (the folded words of the text) and _shape (marks of its form)."""
+    """Adds _words (the folded words of the text) and _shape (marks of its form: capitals, symbols and repeated words in tenths of its words)."""
     size = F.greatest(F.size("_words"), F.lit(1))
+    tenths = lambda n: F.least(F.floor(n * 10 / size), F.lit(10)).cast("string")
     marks = {
-        "#caps": F.regexp_count("_text", F.lit(r"\p{Lu}{2}")) > size * 0.3,
-        "#marks": F.regexp_count("_text", F.lit(r"[!#$%&*]{2}")) > size * 0.2,
-        "#bars": F.regexp_count("_text", F.lit(r" \| ")) > size * 0.2,
-        "#repeats": F.size(F.array_distinct("_words")) < size * 0.4,
+        "#caps": F.regexp_count("_text", F.lit(r"\p{Lu}{2}")),
+        "#symbols": F.regexp_count("_text", F.lit(r"[^\p{L}\p{N}\s.,;:'\"?()-]+")),
+        "#distinct": F.size(F.array_distinct("_words")),
     }
     out = docs.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("_words", words("_text"))
-    return out.withColumn("_shape", F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in marks.items()])))
+    return out.withColumn("_shape", F.array(*[F.concat(F.lit(name), tenths(n)) for name, n in marks.items()]))
 
 
 def terms() -> Column:
@@ -56,12 +59,15 @@ class Classifier:
     base: list[float]
     features: list[str] = field(default_factory=list)
     odds: list[list[float]] = field(default_factory=list)  # one list per domain
+    temperature: float = 1.0
 
-    def posteriors(self) -> Column:
-        """array<double> by domain, from with_terms() columns."""
+    def present(self) -> Column:
+        """Places (from 1) of the known features that a row with with_terms() columns has."""
         known = F.array(*[F.lit(f) for f in self.features]).cast("array<string>")
-        present = F.transform(F.array_intersect(terms(), known), lambda f: F.array_position(known, f).cast("int"))
+        return F.transform(F.array_intersect(terms(), known), lambda f: F.array_position(known, f).cast("int"))
 
+    def logs(self) -> Column:
+        """Log posteriors by domain up to a constant, from _present."""
 
         def log(base: float, odds: list[float]) -> Column:
             if not odds:
@@ -69,19 +75,18 @@ class Classifier:
             table = F.array(*[F.lit(v) for v in odds])
             return F.aggregate("_present", F.lit(base), lambda s, i: s + F.get(table, i - 1))
 
-        logs = [log(b, o) for b, o in zip(self.base, self.odds or [[]] * len(self.base), strict=True)]
-        self.present = present
-        return F.array(*logs)
+        return F.array(*[log(b, o) for b, o in zip(self.base, self.odds or [[]] * len(self.base), strict=True)])
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """docs with _tokens (words, one at least) and _p (posteriors by domain)."""
-        marked = with_terms(docs)
-        logs = self.posteriors()
-        out = marked.withColumn("_present", self.present).withColumn("_tokens", F.greatest(F.size(F.filter("_words", lambda w: w != "")), F.lit(1)).cast("long"))
-        out = out.drop("_words", "_shape", "_text").withColumn("_logs", logs)
-        out = out.withColumn("_e", F.transform("_logs", lambda v: F.exp(v - F.array_max("_logs"))))
-        whole = F.aggregate("_e", F.lit(0.0), lambda s, x: s + x)
-        return out.withColumn("_p", F.transform("_e", lambda x: x / whole)).drop("_present", "_logs", "_e")
+        out = with_terms(docs).withColumn("_present", self.present()).withColumn("_tokens", F.greatest(F.size(F.filter("_words", lambda w: w != "")), F.lit(1)).cast("long"))
+        out = out.drop("_words", "_shape", "_text").withColumn("_logs", self.logs())
+        return out.withColumn("_p", softmax("_logs", self.temperature)).drop("_present", "_logs")
+
+
+def softmax(logs: str, temperature: float) -> Column:
+    e = F.transform(logs, lambda v: F.exp((v - F.array_max(logs)) / temperature))
+    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -94,7 +99,8 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], per_domain:
     """Train on at most ``per_domain`` labelled rows of each domain (smallest xxhash64(doc_id) first).
 
     The prior is the share of a domain among all labels. Features are those whose presence differs most
-    between a domain and the rest, by chi-square, among those LIFT times likelier in some domain. Without labels the posterior is even.
+    between a domain and the rest, by chi-square, among those LIFT times likelier in some domain. Every third row
+    (by hash) trains nothing and chooses the temperature. Without labels the posterior is even.
     """
     once = labelled.where(F.col("domain").isin(domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     totals = {r["domain"]: r["n"] for r in once.groupBy("domain").agg(F.count("*").alias("n")).collect()}
@@ -104,8 +110,9 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], per_domain:
     sample = picks[0]
     for p in picks[1:]:
         sample = sample.unionByName(p)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # per_domain short rows a domain: a proven bound
-    marked = stored(with_terms(rows).select("domain", F.array_distinct(terms()).alias("terms")), "mixing-sample")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("domain").alias("domain"))  # per_domain short rows a domain: a proven bound
+    sampled = stored(with_terms(rows).select("domain", "_words", "_shape", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0).alias("held")), "mixing-sample")
+    marked = sampled.where("not held").select("domain", F.array_distinct(terms()).alias("terms"))
     sizes = {r["domain"]: r["n"] for r in marked.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     m = [sizes.get(d, 0) for d in domains]
     if not sum(m):
@@ -121,72 +128,128 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], per_domain:
     best = seen.where((df >= 10) & (F.greatest(*lift, F.lit(0.0)) >= LIFT)).withColumn("chi", F.greatest(*chi) if len(chi) > 1 else chi[0]).orderBy(F.desc("chi"), "term").limit(features).collect()
     share = [[(r[f"c{i}"] + 0.1) / (m[i] + 0.2) for r in best] for i in range(len(domains))]
     base = [q + sum(math.log(1 - s) for s in own) for q, own in zip(prior, share, strict=True)]
-    return Classifier(domains, base, [r["term"] for r in best], [[math.log(s / (1 - s)) for s in own] for own in share])
+    model = Classifier(domains, base, [r["term"] for r in best], [[math.log(s / (1 - s)) for s in own] for own in share])
+    return calibrate(model, sampled.where("held"), totals)
 
 
-def rate(steps: list[list[float]], anchor: int | None = None) -> Column:
-    """The rate of a row from its posteriors _p: the fold of all steps, from 1.
+def calibrate(model: Classifier, held: DataFrame, totals: dict[str, int]) -> Classifier:
+    """Take the temperature with the least log loss on rows that trained nothing; a domain's rows weigh as much as its labels."""
+    held = held.withColumn("_present", model.present()).withColumn("_logs", model.logs())
+    place = F.coalesce(*[F.when(F.col("domain") == d, F.lit(i)) for i, d in enumerate(model.domains)])
+    loss = [F.avg(-F.log(F.greatest(F.get(softmax("_logs", float(t)), place), F.lit(1e-12)))).alias(f"l{i}") for i, t in enumerate(TEMPERATURES)]
+    found = held.groupBy("domain").agg(*loss).collect()
+    whole = [sum(r[f"l{i}"] * totals[r["domain"]] for r in found) for i in range(len(TEMPERATURES))]
+    model.temperature = float(TEMPERATURES[whole.index(min(whole))]) if found else 1.0
+    return model
 
-    With an ``anchor`` domain no rate is above 1, and rows of which it is the likeliest domain have rate 1.
-    """
+
+def rate(steps: list[list[float]]) -> Column:
+    """The rate of a row from its posteriors _p: the fold of all steps, from 1."""
     if not steps:
         return F.lit(1.0)
     moves = F.array(*[F.array(*[F.lit(float(v)) for v in e]) for e in steps])
     dot = lambda e: F.aggregate(F.zip_with("_p", e, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    if anchor is None:
-        return F.aggregate(moves, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - dot(e)))
-    fold = F.aggregate(moves, F.lit(1.0), lambda r, e: F.least(F.lit(1.0), F.greatest(F.lit(0.0), r - dot(e))))
-    return F.when(F.get("_p", F.lit(anchor)) >= F.array_max("_p"), F.lit(1.0)).otherwise(fold)
+    return F.aggregate(moves, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - dot(e)))
+
+
+def peak(steps: list[list[float]], domains: int) -> float:
+    """The largest rate any posteriors can have: the fold is convex in them, so it stands at a domain that is certain."""
+    best = [1.0] * domains
+    for e in steps:
+        best = [max(0.0, r - x) for r, x in zip(best, e, strict=True)]
+    return max(best)
+
+
+@dataclass
+class Fit:
+    """Steps of the gradient, the residual of each domain as a share of all tokens, and whether all are within the tolerance.
+
+    Where they are not, the residuals stopped shrinking (no nonnegative rates reach the targets) or the steps ran out.
+    """
 
+    steps: list[list[float]]
+    residuals: list[float]
+    settled: bool
 
-def fit(members: DataFrame, weights: list[float], steps: int = STEPS, tolerance: float = TOLERANCE, anchor: int | None = None) -> list[list[float]]:
-    """Steps of the projected gradient for rows of (_tokens, _p), so that expected totals match ``weights`` of all tokens.
+
+def fit(members: DataFrame, weights: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> Fit:
+    """Projected gradient for rows of (_tokens, _p), so that expected totals match ``weights`` of all tokens.
 
     Stops when all residuals are below ``tolerance`` of all tokens, or no longer shrink: targets that no
-    nonnegative rates reach are met as closely as least squares allow. With an ``anchor`` domain its rows
-    are whole and the total follows its tokens: the other domains are thinned to their shares beside it.
+    nonnegative rates reach are met as closely as least squares allow.
     """
     d = len(weights)
-
-    def totals(r: Column) -> list[float]:
-        row = members.select(*[(F.col("_tokens") * r * F.get("_p", F.lit(i))).alias(f"t{i}") for i in range(d)]).agg(*[F.sum(f"t{i}").alias(f"t{i}") for i in range(d)]).first()
-        return [row[i] or 0.0 for i in range(d)]
-
-    natural = now = totals(F.lit(1.0))
-    whole = sum(natural)
-    anchored = anchor is not None and weights[anchor] > 0
-    out, last = [], math.inf
-    while whole and len(out) < steps:
-        total = now[anchor] / weights[anchor] if anchored else whole
-        off = [0.0 if anchored and i == anchor else g - w * total for i, (w, g) in enumerate(zip(weights, now, strict=True))]
-        most = max(map(abs, off)) / whole
-        if most < tolerance or most > last * (1 - 1e-6):
+    cells = [(i, j) for i in range(d) for j in range(i, d)]
+
+    def totals(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        rows = members.select("_tokens", "_p", rate(steps).alias("_r"))
+        p = lambda i: F.get("_p", F.lit(i))
+        live = F.when(F.col("_r") > 0, F.col("_tokens")).otherwise(0)
+        sums = [F.sum(F.col("_tokens") * F.col("_r") * p(i)) for i in range(d)] + [F.sum(live * p(i) * p(j)) for i, j in cells]
+        row = [v or 0.0 for v in rows.agg(*sums).first()]
+        H = np.zeros((d, d))
+        for (i, j), v in zip(cells, row[d:], strict=True):
+            H[i, j] = H[j, i] = v
+        return np.array(row[:d]), H
+
+    now, H = totals([])
+    whole = float(now.sum())
+    if not whole:
+        return Fit([], [0.0] * d, True)
+    off = now / whole - np.array(weights)
+    out: list[list[float]] = []
+    while np.abs(off).max() >= tolerance and len(out) < steps:
+        move = np.linalg.lstsq(H / whole, off, rcond=1e-10)[0]
+        for halving in range(HALVINGS):
+            tried = [*out, (move / 2**halving).tolist()]
+            now, H_ = totals(tried)
+            new = now / whole - np.array(weights)
+            if np.square(new).sum() < np.square(off).sum() * (1 - 1e-6):
+                break
+        else:
             break
-        last = most
-        out.append([o / a if a > 1e-9 * whole else 0.0 for o, a in zip(off, natural, strict=True)])
-        now = totals(rate(out, anchor))
-    return out
+        out, off, H = tried, new, H_
+    return Fit(out, off.tolist(), bool(np.abs(off).max() < tolerance))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: list[str] | None = None, anchor: str | None = None) -> DataFrame:
-    """The kept columns (doc_id), tokens, posteriors (array in the order of ``targets``) and rate of every row.
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: list[str] | None = None) -> DataFrame:
+    """The kept columns (doc_id), tokens, posteriors (array in the order of ``targets``), rate, thinned and residuals of every row.
 
-    Null and empty texts are one token and classified by what they lack. Null ids and repeated rows stay; an
-    empty table gives no rows. Kept columns must not be called tokens, posteriors or rate.
+    ``thinned`` is the rate over the largest one: the chance of a row where none is repeated, which leaves the shares
+    as they are. ``residuals`` are the same in every row: by how much of all tokens each domain misses its target.
+    Null and empty texts are one token and classified by what they lack. Very long texts are taken whole. Null ids and
+    repeated rows stay; an empty table gives no rows. Kept columns that are called like a column of the result give
+    way to it.
     """
-    keep, domains = keep or ["doc_id"], list(targets)
+    mixed, _ = fitted(docs, labelled, targets)
+    own = ["tokens", "posteriors", "rate", "thinned", "residuals"]
+    return mixed.select(*[F.col("_row")[c].alias(c) for c in keep or ["doc_id"] if c not in own], *own)
+
+
+def fitted(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> tuple[DataFrame, Fit]:
+    """The result of mix() with each whole row in _row, and the fit."""
+    domains = list(targets)
     model = train(docs, labelled, domains)
-    plain = docs.select(*dict.fromkeys([*keep, "text"]))
-    members = stored(model.apply(plain).select(*keep, "_tokens", "_p"), "mixing-members")
+    members = stored(model.apply(docs.select(F.struct("*").alias("_row"), F.col("text"))).select("_row", "_tokens", "_p"), "mixing-members")
     weight = sum(targets.values())
-    at = domains.index(anchor) if anchor else None
-    steps = fit(members.select("_tokens", "_p"), [targets[d] / weight for d in domains], anchor=at)
-    return members.select(*keep, F.col("_tokens").alias("tokens"), F.col("_p").alias("posteriors"), rate(steps, at).alias("rate"))
+    found = fit(members.select("_tokens", "_p"), [targets[d] / weight for d in domains])
+    top = peak(found.steps, len(domains)) or 1.0
+    more = {"tokens": F.col("_tokens"), "posteriors": F.col("_p"), "rate": rate(found.steps), "residuals": F.array(*[F.lit(float(v)) for v in found.residuals])}
+    return members.withColumns(more).withColumn("thinned", F.col("rate") / top), found
+
+
+def uniform(id_col: str | Column, seed: int = 0) -> Column:
+    """A number in [0, 1) by hash of the id."""
+    return F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+
+
+def thin(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", seed: int = 0) -> DataFrame:
+    """The rows of docs, each at most once, so that expected shares are the targets: a row stays with chance ``thinned``."""
+    mixed, _ = fitted(docs, labelled, targets)
+    return mixed.where(uniform(F.col("_row")[id_col], seed) < F.col("thinned")).select("_row.*")
 
 
-def realise(mixed: DataFrame, id_col: str = "doc_id", seed: int = 0, most_copies: int | None = None) -> DataFrame:
-    """Rows repeated floor(rate + u) times, u uniform by hash of the id; at most ``most_copies`` where given."""
-    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    copies = F.floor(F.col("rate") + u).cast("int")
-    copies = F.least(copies, F.lit(most_copies)) if most_copies else copies
-    return mixed.where(copies > 0) if most_copies == 1 else mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).drop("_copy")
+def realise(mixed: DataFrame, id_col: str = "doc_id", seed: int = 0) -> DataFrame:
+    """Rows repeated floor(rate + u) times, u uniform by hash of the id."""
+    copies = F.floor(F.col("rate") + uniform(F.col(id_col), seed)).cast("int")
+    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).drop("_copy")

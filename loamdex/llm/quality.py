@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from loamdex.llm.common import labelled_sample
 
@@ -165,7 +166,7 @@ def train(texts: list[str], y: np.ndarray) -> LineField:
 
 
 def calibrate(field: LineField, texts: list[str], y: np.ndarray, weight: np.ndarray) -> LineField:
-    """Fit the logistic curve by Newton steps; weights restore the share of the classes."""
+    """Fit the logistic curve by Newton steps, a row counting as its weight."""
     x = field.raw([lines_of(t) for t in texts])
     a, b = 1.0, 0.0
     for _ in range(50):
@@ -198,7 +199,8 @@ def score(docs: DataFrame, field: LineField | None, keep: list[str] | None = Non
     """The kept columns (doc_id) and the score of every row, in a column called ``name``. Null and empty texts count as one blank line.
 
     Without a field (no labels of both kinds) every score is 1, so a filter drops nothing. Null ids and
-    repeated rows stay.
+    repeated rows stay; a kept column called ``name`` must not be asked for (wrap the row in a struct instead).
+    Very long texts are taken whole, line by line.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)  # some kB, whatever the input
     keep = keep or ["doc_id"]
@@ -213,5 +215,4 @@ def score(docs: DataFrame, field: LineField | None, keep: list[str] | None = Non
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(p, pa.float64())], names=[*keep, name])
 
     rows = docs.select(*keep, *([] if "text" in keep else [F.col("text").cast("string").alias("text")]))
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{fields}, `{name}` double")
+    return rows.mapInArrow(run, StructType([*(docs.schema[c] for c in keep), StructField(name, DoubleType())]))

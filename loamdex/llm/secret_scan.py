@@ -20,6 +20,8 @@ from loamdex.session import stored
 #: Candidate rows up to which their list is broadcast; longer lists are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 MOST_ALTERNATIVES = 512
+#: Matches whose places are summed up at a time.
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -128,36 +130,48 @@ def candidates(index: DataFrame, rules: list[Rule]) -> DataFrame:
 def _spans(rule: Rule, number: int, flag: Column) -> dict[str, Column]:
     """Columns that lead to the spans of one rule: matches, lengths between them, spans. Each stands in a step of its own."""
     none = F.array().cast("array<string>")
-    m, g, p = f"_m{number}", f"_g{number}", f"_p{number}"
+    m, g, p, b = f"_m{number}", f"_g{number}", f"_p{number}", f"_b{number}"
     java = F.lit(rule.java)
     steps = {m: F.when(flag, F.regexp_extract_all("_text", java, 0)).otherwise(none)}
     steps[g] = F.when(F.size(m) > 0, F.regexp_extract_all("_text", java, rule.group)).otherwise(none) if rule.group else F.col(m)
     steps[p] = F.when(F.size(m) > 0, F.split("_text", rule.java, -1)).otherwise(none)
+    items = f"""zip_with(zip_with({m}, {g}, (a, b) -> named_struct('n', char_length(a), 'v', char_length(b))), slice({p}, 1, size({m})),
+        (a, b) -> named_struct('gap', char_length(b), 'n', a.n, 'v', a.v))"""
+    steps[b] = F.expr(f"if(size({m}) = 0, array(), transform(sequence(0, (size({m}) - 1) div {BLOCK}), i -> slice({items}, i * {BLOCK} + 1, {BLOCK})))")
+    # places are running sums: of whole blocks first, then inside each block, so that very many matches cost little more than few
+    place = "array<struct<start:int, number:int, end:int, v:int>>"
     walk = f"""
-        filter(aggregate(zip_with(zip_with({m}, {g}, (a, b) -> named_struct('n', char_length(a), 'v', char_length(b))), slice({p}, 1, size({m})),
-                (a, b) -> named_struct('gap', char_length(b), 'n', a.n, 'v', a.v)),
-            named_struct('at', 0, 'out', cast(array() as array<struct<start:int, number:int, end:int, v:int>>)),
-            (s, x) -> named_struct('at', s.at + x.gap + x.n, 'out', concat(s.out, array(named_struct('start', s.at + x.gap, 'number', {number}, 'end', s.at + x.gap + x.n, 'v', x.v))))
-        ).out, x -> x.v >= {rule.least})"""
+        filter(flatten(zip_with({b}, aggregate({b},
+            named_struct('at', 0, 'out', cast(array() as array<int>)),
+            (s, x) -> named_struct('at', s.at + aggregate(x, 0, (n, y) -> n + y.gap + y.n), 'out', concat(s.out, array(s.at)))).out,
+            (x, at) -> aggregate(x, named_struct('at', at, 'out', cast(array() as {place})),
+                (s, y) -> named_struct('at', s.at + y.gap + y.n, 'out', concat(s.out, array(named_struct('start', s.at + y.gap, 'number', {number}, 'end', s.at + y.gap + y.n, 'v', y.v))))).out
+        )), x -> x.v >= {rule.least})"""
     steps[f"_s{number}"] = F.when(F.size(m) > 0, F.expr(walk)).otherwise(F.array().cast("array<struct<start:int, number:int, end:int, v:int>>"))
     return steps
 
 
-def scan(docs: DataFrame, rules: list[Rule] = RULES, keep: list[str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, rules: list[Rule] = RULES, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """The kept columns (doc_id) and ``spans``: array of (start, number, end, v) by start, then rule number.
 
     Positions are code points, the end is exclusive, ``v`` is the length of the rule's group. Null texts are
-    empty. Rows with null ids are not in the index and are scanned by every rule. Repeated rows are repeated;
-    an empty table gives no rows.
+    empty, very long ones are scanned whole. Rows with null ids are not in the index and are scanned by every rule.
+    Repeated rows are repeated; an empty table gives no rows. Kept columns may have any name but ``spans``.
     """
     keep = keep or ["doc_id"]
+    return _scanned(docs, rules, text_col).select(*[F.col("_row")[c].alias(c) for c in keep], "spans")
+
+
+def _scanned(docs: DataFrame, rules: list[Rule], text_col: str) -> DataFrame:
+    """_row (the whole row) and spans."""
     queries = [trigram_query(r.pattern) for r in rules]
     vocabulary = sorted({t for q in queries for c in q or [] for t in c})
     full = sum(1 << i for i, q in enumerate(queries) if q is None)
     all_rules = (1 << len(rules)) - 1
-    source = docs.select(*[F.col(c) for c in keep], F.col("doc_id").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    source = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     if vocabulary:
-        found = stored(candidates(postings(docs, vocabulary), rules), "secret-candidates").select(F.col("doc_id").alias("_found"), F.col("rules").alias("_rules"))
+        index = postings(docs.select("doc_id", F.col(text_col).alias("text")), vocabulary)
+        found = stored(candidates(index, rules), "secret-candidates").select(F.col("doc_id").alias("_found"), F.col("rules").alias("_rules"))
         small = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         source = source.join(F.broadcast(found) if small else found, F.col("_id") == F.col("_found"), "left").drop("_found")
     else:
@@ -166,7 +180,7 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, keep: list[str] | None = No
     steps = [list(_spans(rule, i, F.col("_rules").bitwiseAND(F.lit(1 << i)) != 0).items()) for i, rule in enumerate(rules)]
     for layer in zip(*steps, strict=True):
         out = out.withColumns(dict(layer))
-    return out.select(*[F.col(c) for c in keep], F.array_sort(F.concat(*[F.col(f"_s{i}") for i in range(len(rules))])).alias("spans"))
+    return out.select("_row", F.array_sort(F.concat(*[F.col(f"_s{i}") for i in range(len(rules))])).alias("spans"))
 
 
 def listed(spans: str, rules: list[Rule] = RULES) -> Column:
@@ -176,17 +190,22 @@ def listed(spans: str, rules: list[Rule] = RULES) -> Column:
 
 
 def redact(docs: DataFrame, rules: list[Rule] = RULES, text_col: str = "text") -> DataFrame:
-    """The documents with every span replaced by [REDACTED:kind]; overlapping spans fold into the first. n_chars follows."""
+    """The documents with every span replaced by [REDACTED:kind]; overlapping spans fold into the first. n_chars follows.
+
+    The documents' columns may have any names. A text that is no string stays as it is unless it holds a secret.
+    """
     names = docs.columns
-    marked = scan(docs, rules, names)
     kinds = ", ".join(f"'{r.kind}'" for r in rules)
     cut = f"""aggregate(spans, named_struct('at', 0, 'out', ''), (s, x) -> if(x.start >= s.at,
-        named_struct('at', x.end, 'out', concat(s.out, substring({text_col}, s.at + 1, x.start - s.at), '[REDACTED:', array({kinds})[x.number], ']')),
-        named_struct('at', greatest(s.at, x.end), 'out', s.out)), s -> concat(s.out, substring({text_col}, s.at + 1)))"""
-    new = marked.withColumn(text_col, F.when(F.size("spans") > 0, F.expr(cut)).otherwise(F.col(text_col)))
+        named_struct('at', x.end, 'out', concat(s.out, substring(_text, s.at + 1, x.start - s.at), '[REDACTED:', array({kinds})[x.number], ']')),
+        named_struct('at', greatest(s.at, x.end), 'out', s.out)), s -> concat(s.out, substring(_text, s.at + 1)))"""
+    found = _scanned(docs, rules, text_col).withColumn("_text", F.col("_row")[text_col].cast("string"))
+    found = found.withColumn("_new", F.when(F.size("spans") > 0, F.expr(cut)).otherwise(F.col("_text")))
+    changed = {text_col: F.col("_new")}
     if "n_chars" in names:
-        new = new.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length(text_col).cast("long")).otherwise(F.col("n_chars")))
-    return new.select(*names)
+        own = F.col("_row")["n_chars"]
+        changed["n_chars"] = F.when(F.size("spans") > 0, F.char_length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(own)
+    return found.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in names])
 
 
 def python_spans(text: str, rules: list[Rule] = RULES) -> list[tuple[int, int, int]]:

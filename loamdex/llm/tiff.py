@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 # Fixed values of the TIFF 6.0 format: tag numbers, field type sizes and compression codes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -21,113 +22,130 @@ PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES = 284, 317, 322, 3
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 CLEAR, END = 256, 257
+#: How many bytes one byte of a part may stand for: LZW's longest entries are the most that any supported form gives.
+MOST_EXPANDED = 4096
+#: What a reader may raise on a damaged file; each is reported in an error row.
+DAMAGE = (ValueError, KeyError, IndexError, TypeError, ArithmeticError, MemoryError, struct.error, zlib.error)
 
 #: Rows of a page, and pixels (RGB) of a row, that text payloads are stored in.
 PAGE_ROWS, ROW_PIXELS = 1024, 64
+#: Bytes of decoded samples or payloads after which rows are handed on.
+BATCH_BYTES = 8 << 20
 ROW_BYTES = 3 * ROW_PIXELS
 
 
 # --- compression ---------------------------------------------------------------------------------
+#: Runs of equal bytes this long or longer are packed as runs.
+LEAST_RUN = 3
+
+
 def packbits(data: bytes) -> bytes:
-    out, at, n = bytearray(), 0, len(data)
-    while at < n:
-        run = 1
-        while at + run < n and run < 128 and data[at + run] == data[at]:
-            run += 1
-        if run > 1:
-            out += bytes((257 - run, data[at]))
-            at += run
-            continue
-        end = at + 1
-        while end < n and end - at < 128 and not (end + 1 < n and data[end] == data[end + 1]):
-            end += 1
-        out.append(end - at - 1)
-        out += data[at:end]
-        at = end
+    """Runs are found at once; what lies between them is copied 128 bytes at a time."""
+    raw = np.frombuffer(data, np.uint8)
+    edges = np.concatenate([[0], np.nonzero(np.diff(raw))[0] + 1, [len(raw)]]) if len(raw) else np.zeros(1, np.int64)
+    long = np.nonzero(np.diff(edges) >= LEAST_RUN)[0]
+    out, done = bytearray(), 0
+
+    def literal(start: int, end: int) -> None:
+        for at in range(start, end, 128):
+            part = data[at : min(end, at + 128)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for start, end in zip(edges[long].tolist(), edges[long + 1].tolist(), strict=True):
+        literal(done, start)
+        for at in range(start, end, 128):
+            n = min(128, end - at)
+            out.extend((257 - n & 255, data[at]) if n > 1 else (0, data[at]))
+        done = end
+    literal(done, len(data))
     return bytes(out)
 
 
 def unpackbits(data: bytes, size: int) -> bytes:
-    out, at = bytearray(), 0
-    while len(out) < size and at < len(data):
+    out, at, n = bytearray(), 0, len(data)
+    while len(out) < size and at < n:
         head = data[at]
         if head < 128:
             out += data[at + 1 : at + 2 + head]
             at += 2 + head
+        elif head > 128:
+            out += data[at + 1 : at + 2] * (257 - head)
+            at += 2
         else:
-            if head > 128:
-                out += data[at + 1 : at + 2] * (257 - head)
-            at += 2 if head > 128 else 1
+            at += 1
     return bytes(out[:size])
 
 
+#: Codes from a clear on are 9 bits wide up to this place, then 10, 11 and 12 (entries 511, 1023 and 2047 are made there).
+WIDER = (254, 766, 1790)
+#: The last code before a clear: the one that makes entry 4094.
+SEGMENT = 3837
+
+
+def widths(n: int) -> np.ndarray:
+    """Bits of each of the n codes that follow a clear."""
+    return 9 + np.searchsorted(WIDER, np.arange(n), side="right")
+
+
 def lzw(data: bytes) -> bytes:
-    """Most significant bit first; codes widen when entry 511, 1023 or 2047 is made, a clear follows entry 4094."""
-    acc = bits = 0
-    out = bytearray()
-
-    def put(code: int, width: int) -> None:
-        nonlocal acc, bits
-        acc, bits = acc << width | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(acc >> bits & 255)
-        acc &= (1 << bits) - 1
-
-    table, width = {bytes((i,)): i for i in range(256)}, 9
-    put(CLEAR, width)
-    size, held = 258, b""
-    for i in range(len(data)):
-        grown = held + data[i : i + 1]
-        if grown in table:
-            held = grown
+    """Most significant bit first. Codes are found byte by byte; their bits are laid out at once."""
+    codes, sizes = [np.array([CLEAR])], [np.array([9])]
+    table: dict[int, int] = {}
+    held, size, own = -1, 258, []
+    for byte in data:
+        if held < 0:
+            held = byte
+            continue
+        key = held << 8 | byte
+        code = table.get(key)
+        if code is not None:
+            held = code
             continue
-        put(table[held], width)
-        table[grown] = size
+        own.append(held)
+        table[key] = size
         size += 1
+        held = byte
         if size == 4095:
-            put(CLEAR, width)
-            table, size, width = {bytes((i,)): i for i in range(256)}, 258, 9
-        elif size >= 1 << width:
-            width += 1
-        held = data[i : i + 1]
-    if held:
-        put(table[held], width)
-        size += 1
-        if size >= 1 << width and width < 12:
-            width += 1
-    put(END, width)
-    if bits:
-        out.append(acc << (8 - bits) & 255)
-    return bytes(out)
+            codes += [np.array(own), np.array([CLEAR])]
+            sizes += [widths(len(own)), np.array([12])]
+            table, size, own = {}, 258, []
+    if held >= 0:
+        own.append(held)
+    codes.append(np.array([*own, END]))
+    sizes.append(widths(len(own) + 1))
+    code, width = np.concatenate(codes).astype(np.uint16), np.concatenate(sizes)
+    bits = np.unpackbits(code.astype(">u2").view(np.uint8).reshape(-1, 2), axis=1)
+    return np.packbits(bits[np.arange(16)[None] >= 16 - width[:, None]]).tobytes()
 
 
 def unlzw(data: bytes, size: int) -> bytes:
+    """The codes up to the next clear are cut out at once, then looked up one by one."""
     base = [bytes((i,)) for i in range(256)] + [b"", b""]
-    table, width, held, out = list(base), 9, b"", bytearray()
-    acc = bits = at = 0
-    while len(out) < size:
-        while bits < width:
-            if at >= len(data):
-                return bytes(out[:size])
-            acc, bits, at = (acc << 8 | data[at]) & 0xFFFFFFFF, bits + 8, at + 1
-        bits -= width
-        code = acc >> bits & ((1 << width) - 1)
-        if code == END:
-            break
-        if code == CLEAR:
-            table, width, held = list(base), 9, b""
-            continue
-        if not held:
-            held = table[code]
+    raw = np.frombuffer(data + b"\0\0\0\0", np.uint8).astype(np.uint32)
+    out, at, total = bytearray(), 0, 8 * len(data)
+    while len(out) < size and at + 9 <= total:
+        width = widths(min((total - at) // 9, 4096))
+        start = at + np.cumsum(width) - width
+        fits = start + width <= total
+        start, width = start[fits], width[fits]
+        place = start >> 3
+        window = raw[place] << 24 | raw[place + 1] << 16 | raw[place + 2] << 8 | raw[place + 3]
+        codes = window >> (32 - width - (start & 7)).astype(np.uint32) & ((1 << width) - 1).astype(np.uint32)
+        stops = np.nonzero((codes == CLEAR) | (codes == END))[0]
+        n = int(stops[0]) if len(stops) else len(codes)
+        table, held = base.copy(), b""
+        for code in codes[:n].tolist():
+            if not held:
+                held = table[code]
+            else:
+                got = table[code] if code < len(table) else held + held[:1]
+                table.append(held + got[:1])
+                held = got
             out += held
-            continue
-        got = table[code] if code < len(table) else held + held[:1]
-        table.append(held + got[:1])
-        if len(table) >= (1 << width) - 1 and width < 12:
-            width += 1
-        out += got
-        held = got
+        if not len(stops) or codes[n] == END:
+            break
+        at = int(start[n] + width[n])
     return bytes(out[:size])
 
 
@@ -148,16 +166,16 @@ def squeeze(data: bytes, compression: int) -> bytes:
 
 
 # --- writing -------------------------------------------------------------------------------------
-def encode_page(samples: np.ndarray, compression: int, predictor: bool, tile: int = 0, strip_rows: int = 256) -> tuple[list[bytes], dict[int, list[int]]]:
-    """The strips or tiles of an (h, w, channels) page, and its directory without their offsets."""
+def encode_page(samples: np.ndarray, compression: int, predictor: bool, tile: tuple[int, int] | None = None, strip_rows: int = 256) -> tuple[list[bytes], dict[int, list[int]]]:
+    """The strips or (height, width) tiles of an (h, w, channels) page, and its directory without their offsets."""
     h, w, c = samples.shape
     tags = {WIDTH: [w], HEIGHT: [h], BITS: [8] * c, COMPRESSION: [compression], PHOTOMETRIC: [2 if c >= 3 else 1], SAMPLES: [c], PLANAR: [1], PREDICTOR: [2 if predictor else 1]}
     if tile:
-        down, across = -(-h // tile) * tile, -(-w // tile) * tile
-        full = np.zeros((down, across, c), np.uint8)
+        th, tw = tile
+        full = np.zeros((-(-h // th) * th, -(-w // tw) * tw, c), np.uint8)
         full[:h, :w] = samples
-        parts = [full[y : y + tile, x : x + tile] for y in range(0, down, tile) for x in range(0, across, tile)]
-        tags |= {TILE_WIDTH: [tile], TILE_HEIGHT: [tile]}
+        parts = [full[y : y + th, x : x + tw] for y in range(0, len(full), th) for x in range(0, full.shape[1], tw)]
+        tags |= {TILE_WIDTH: [tw], TILE_HEIGHT: [th]}
     else:
         parts = [samples[y : y + strip_rows] for y in range(0, h, strip_rows)]
         tags |= {ROWS_PER_STRIP: [strip_rows]}
@@ -191,26 +209,22 @@ def write_tiff(pages: list[tuple[list[bytes], dict[int, list[int]]]]) -> bytes:
     return bytes(out)
 
 
-def text_tiff(payload: bytes) -> bytes:
-    """A payload of whole rows as RGB pages of at most PAGE_ROWS rows.
+#: The forms of text payloads; which one a payload takes is drawn by its checksum, whatever its size.
+FORMS = [(kind, tile, predictor) for kind in (PACKBITS, LZW, DEFLATE) for tile in (None, (16, 32)) for predictor in (False, True)]
 
-    The form follows from the payload alone: up to 4 rows LZW or PackBits in strips, in turn by the row
-    count; above that deflate in strips, or in 64-pixel tiles with the predictor where a page has full tiles.
-    """
+
+def text_tiff(payload: bytes) -> bytes:
+    """A payload of whole rows as RGB pages of at most PAGE_ROWS rows, in the form its crc32 draws from FORMS."""
+    kind, tile, predictor = FORMS[zlib.crc32(payload) % len(FORMS)]
     rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW_PIXELS, 3)
-    pages = []
-    for at in range(0, len(rows), PAGE_ROWS):
-        page = rows[at : at + PAGE_ROWS]
-        small = len(rows) <= 4
-        kind = (PACKBITS if len(rows) % 2 else LZW) if small else DEFLATE
-        tiled = not small and len(page) % 64 == 0
-        pages.append(encode_page(page, kind, tiled, tile=64 if tiled else 0))
-    return write_tiff(pages)
+    return write_tiff([encode_page(rows[at : at + PAGE_ROWS], kind, predictor, tile) for at in range(0, len(rows), PAGE_ROWS)])
 
 
 # --- reading -------------------------------------------------------------------------------------
 def _values(data: bytes, order: str, kind: int, count: int, field: bytes) -> list[int]:
     size = TYPE_SIZE[kind] * count
+    if size > len(data) + 4:
+        raise ValueError(f"a field of {size} bytes")
     raw = field[:size] if size <= 4 else data[(at := struct.unpack(f"{order}I", field)[0]) : at + size]
     form = {1: "B", 3: "H", 4: "I"}.get(kind)
     return list(struct.unpack(f"{order}{count}{form}", raw)) if form else []
@@ -236,21 +250,31 @@ def directories(data: bytes) -> Iterator[dict[int, list[int]]]:
 
 def decode_page(data: bytes, tags: dict[int, list[int]]) -> np.ndarray:
     """(h, w, channels) samples of one directory."""
-    one = lambda tag, default: tags.get(tag, [default])[0]
+    one = lambda tag, default: (tags.get(tag) or [default])[0]
     w, h, c = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1)
-    if any(b != 8 for b in tags.get(BITS, [1])):
+    if any(b != 8 for b in tags.get(BITS) or [1]):
         raise ValueError("only 8-bit samples are supported")
     planes, per = (c, 1) if one(PLANAR, 1) == 2 else (1, c)
     tiled = TILES in tags
     pw, ph = (one(TILE_WIDTH, w), one(TILE_HEIGHT, h)) if tiled else (w, min(one(ROWS_PER_STRIP, h), h))
     offsets, sizes = (tags[TILES], tags[TILE_BYTES]) if tiled else (tags[STRIPS], tags[STRIP_BYTES])
+    if min(w, h, c, pw, ph) < 1:
+        raise ValueError(f"a page of {w} x {h} x {c} in parts of {pw} x {ph}")
     across, down = -(-w // pw), -(-h // ph)
+    parts = planes * across * down
+    if min(len(offsets), len(sizes)) < parts:
+        raise ValueError(f"{min(len(offsets), len(sizes))} of {parts} parts are listed")
+    # nothing is allocated that the file's bytes could not fill
+    if w * h * c > MOST_EXPANDED * min(sum(sizes[:parts]), parts * len(data)) or pw * ph * per > MOST_EXPANDED * max(sizes[:parts]):
+        raise ValueError(f"a page of {w} x {h} x {c} cannot come from {sum(sizes[:parts])} bytes")
     out = np.zeros((h, w, c), np.uint8)
-    for k in range(planes * across * down):
+    for k in range(parts):
         plane, place = divmod(k, across * down)
         y, x = place // across * ph, place % across * pw
         rows = ph if tiled else min(ph, h - y)
         raw = unpack(data[offsets[k] : offsets[k] + sizes[k]], one(COMPRESSION, NONE), rows * pw * per)
+        if len(raw) < rows * pw * per:
+            raise ValueError(f"part {k} has {len(raw)} of {rows * pw * per} bytes")
         part = np.frombuffer(raw, np.uint8).reshape(rows, pw, per)
         if one(PREDICTOR, 1) == 2:
             part = np.cumsum(part, axis=1, dtype=np.uint8)
@@ -266,11 +290,11 @@ def decode(data: bytes | None) -> Iterator[tuple]:
             try:
                 px = decode_page(data, tags)
                 yield page, px.shape[1], px.shape[0], px.shape[2], px.tobytes(), None
-            except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
-                yield page, None, None, None, None, str(e)[:200]
+            except DAMAGE as e:
+                yield page, None, None, None, None, (str(e) or type(e).__name__)[:200]
             page += 1
-    except (ValueError, KeyError, IndexError, struct.error) as e:
-        yield page, None, None, None, None, str(e)[:200]
+    except DAMAGE as e:
+        yield page, None, None, None, None, (str(e) or type(e).__name__)[:200]
 
 
 # --- operators -----------------------------------------------------------------------------------
@@ -280,19 +304,33 @@ def padded(text: str | None) -> tuple[int, bytes]:
 
 
 def to_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media (a TIFF file) of every row. Null text is empty; null ids and repeated rows stay."""
+    """doc_id, n_bytes, media (a TIFF file) of every row. Null text is empty; null ids and repeated rows stay.
+
+    Very long texts become many pages of one file, whole. An empty table gives no rows.
+    """
+
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_bytes", "media"]
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                made = [padded(t.as_py()) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([text_tiff(p) for _, p in made], pa.binary())], names=names)
+            rows, held = [], 0
+            for key, text in zip(b.column(0), b.column(1), strict=True):
+                n, payload = padded(text.as_py())
+                rows.append((key.as_py(), n, text_tiff(payload)))
+                held += len(payload)
+                if held > BATCH_BYTES or len(rows) == 1000:
+                    yield _batch(rows, schema)
+                    rows, held = [], 0
+            if rows:
+                yield _batch(rows, schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
 PAGE_FIELDS = "page int, width int, height int, channels int, samples binary, error string"
 
 
@@ -304,18 +342,26 @@ def pages(table: DataFrame, media_col: str = "media") -> DataFrame:
     """
     own = [f.split()[0] for f in PAGE_FIELDS.split(", ")]
     keep = [c for c in table.columns if c != media_col and c not in own]
-    fields = ", ".join([*(f"`{c}` {table.schema[c].dataType.simpleString()}" for c in keep), PAGE_FIELDS])
+    fields = StructType([*(table.schema[c] for c in keep), *StructType.fromDDL(PAGE_FIELDS)])
     kinds = [pa.int32()] * 4 + [pa.binary(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(b: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+            rows = pa.array([i for i, _ in found], pa.int64())
+            columns = [b.column(j).take(rows) for j in range(len(keep))]
+            return pa.RecordBatch.from_arrays([*columns, *(pa.array([p[j] for _, p in found], kind) for j, kind in enumerate(kinds))], names=[*keep, *own])
+
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
-                found = [(i, p) for i, m in enumerate(part.column(len(keep))) for p in decode(m.as_py())]
-                rows = pa.array([i for i, _ in found], pa.int64())
-                columns = [part.column(j).take(rows) for j in range(len(keep))]
-                columns += [pa.array([p[j] for _, p in found], kind) for j, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *own])
+            found, held = [], 0
+            for i, media in enumerate(b.column(len(keep))):
+                for p in decode(media.as_py()):
+                    found.append((i, p))
+                    held += len(p[4] or b"")
+                    if held > BATCH_BYTES or len(found) == 1000:
+                        yield made(b, found)
+                        found, held = [], 0
+            if found:
+                yield made(b, found)
 
     return table.select(*keep, F.col(media_col).cast("binary").alias(media_col)).mapInArrow(run, fields)
 
