@@ -96,10 +96,10 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
 
 
 class Window:
-    """Bytes of a file from a place on, fetched a chunk at a time."""
+    """Bytes of a file from a place on, fetched a chunk at a time; grown and cut in place."""
 
     def __init__(self, file, at: int):
-        self.file, self.base, self.data = file, at, b""
+        self.file, self.base, self.data = file, at, bytearray()
 
     def more(self) -> bool:
         self.file.seek(self.base + len(self.data))
@@ -108,19 +108,23 @@ class Window:
         return bool(got)
 
     def forget(self, before: int) -> None:
-        self.data, self.base = self.data[before - self.base :], before
+        del self.data[: before - self.base]
+        self.base = before
 
 
 def is_member(window: Window, at: int) -> bool:
-    """Whether a gzip member that holds a WARC record starts at a place: its first bytes inflate to a whole header."""
+    """Whether a gzip member that holds a WARC record starts at a place: its first bytes inflate to a header, whatever follows it."""
     while len(window.data) < at - window.base + 4096 and window.more():
         pass
-    raw = window.data[at - window.base :]
+    inflater, text = zlib.decompressobj(31), b""
     try:
-        text = zlib.decompressobj(31).decompress(raw[: 1 << 16], 1 << 16)
+        for place in range(at - window.base, min(len(window.data), at - window.base + (1 << 16)), 256):
+            text += inflater.decompress(bytes(window.data[place : place + 256]))
+            if b"\r\n\r\n" in text or inflater.eof or len(text) >= 5 and text[:5] != b"WARC/":
+                break
     except zlib.error:
-        return False
-    return text[:5] == b"WARC/" and b"\r\n" in text and b"WARC-Type:" in text
+        pass
+    return text[:5] == b"WARC/" and b"WARC-Type:" in text
 
 
 def inflate(window: Window, at: int) -> tuple[bytes, int]:
@@ -129,41 +133,57 @@ def inflate(window: Window, at: int) -> tuple[bytes, int]:
     while not inflater.eof:
         if used >= len(window.data) and not window.more():
             raise ValueError(f"member at {at} ends early")
-        piece = window.data[used : used + CHUNK]
+        piece = bytes(window.data[used : used + CHUNK])
         parts.append(inflater.decompress(piece))
         used += len(piece) - len(inflater.unused_data)
     return b"".join(parts), window.base + used
 
 
-def members(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(place, content) of the members that start in [start, end)."""
-    window, at, chained = Window(file, start), start, False
+def members(file, start: int, end: int) -> Iterator[tuple[int, bytes | None, str | None]]:
+    """(place, content, None) of the members that start in [start, end), and (place, None, error) of damaged ones.
+
+    A member whose header inflates but not its whole content is an error at its place, and so are bytes that
+    follow a member, or begin the file, without being one.
+    """
+    window, at, chained = Window(file, start), start, start == 0
     while at < end:
-        if not chained:  # the next magic that is a record's
-            while True:
+        if chained and not window.data and not window.more():
+            return
+        if not chained or window.data[at - window.base : at - window.base + 3] != MAGIC or not is_member(window, at):
+            gap = at if chained else None
+            at += chained
+            chained = False
+            while True:  # the next magic that is a record's
                 place = window.data.find(MAGIC, at - window.base)
                 if place >= 0:
                     at = window.base + place
-                    break
+                    if at >= end or is_member(window, at):
+                        break
+                    at += 1
+                    continue
                 at = max(at, window.base + len(window.data) - 2)
                 window.forget(at)
                 if at >= end or not window.more():
-                    return
+                    at = max(at, end)
+                    break
+            if gap is not None:
+                yield gap, None, "bytes that are no record"
             if at >= end:
                 return
-            if not is_member(window, at):
-                at += 1
-                continue
         try:
             content, after = inflate(window, at)
-        except (zlib.error, ValueError):  # a damaged member: look for the next
+        except (zlib.error, ValueError) as e:  # a damaged member: look for the next
+            yield at, None, str(e)[:200]
+            window.forget(at + 1)
             at, chained = at + 1, False
             continue
-        yield at, content
+        yield at, content, None
         window.forget(after)
         while len(window.data) < 3 and window.more():
             pass
-        at, chained = after, window.data[:3] == MAGIC
+        at, chained = after, True
+        if not window.data:
+            return
 
 
 def parse(content: bytes) -> tuple[dict[str, str], bytes]:
@@ -172,37 +192,50 @@ def parse(content: bytes) -> tuple[dict[str, str], bytes]:
     return {k.lower(): v for k, v in fields.items()}, rest[: int(fields.get("Content-Length", 0))]
 
 
-RECORD = "path string, place long, record_type string, page_id long, url string, payload_digest string, payload_bytes long, refers_to long, payload binary"
+RECORD = "path string, place long, record_type string, page_id long, url string, payload_digest string, payload_bytes long, refers_to long, payload binary, error string"
+
+
+def _number(value: str | None) -> int | None:
+    return int(value) if value and value.lstrip("-").isdigit() else None
 
 
 def read(spark: SparkSession, manifest: DataFrame, range_bytes: int = 8 << 20) -> DataFrame:
     """One row per record of the archives in a manifest (path, bytes), read by ranges of ``range_bytes``.
 
     A response's digest and size are those of the payload as read; a revisit's are its header's, and its
-    payload is null. An empty manifest gives no rows.
+    payload is null. A damaged record, or bytes that are none, give a row with path, place and error alone; see
+    complete() for records of which nothing is left. Very long records are read whole. An empty manifest gives no rows.
     """
     starts = manifest.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("start"))
     ranges = starts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
         names = [f.split()[0] for f in RECORD.split(", ")]
 
         def made(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
+        def row(path: str, place: int, content: bytes | None, error: str | None) -> tuple:
+            if error:
+                return (path, place, *[None] * 7, error)
+            h, body = parse(content)
+            kind = h.get("warc-type")
+            if kind == "revisit":
+                return (path, place, kind, _number(h.get("x-page-id")), h.get("warc-target-uri"), h.get("warc-payload-digest", "").removeprefix("sha1:"), _number(h.get("x-payload-bytes")), _number(h.get("x-refers-to-page")), None, None)
+            sha = digest(body)
+            if h.get("warc-payload-digest") not in (None, f"sha1:{sha}"):
+                return (path, place, *[None] * 7, "the payload is not that of the digest")
+            return (path, place, kind, _number(h.get("x-page-id")), h.get("warc-target-uri"), sha, len(body), None, body, None)
+
         for b in batches:
             for path, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 fs, inner = open_fs(path)
                 out, held = [], 0
                 with fs.open_input_file(inner) as f:
-                    for place, content in members(f, start, start + range_bytes):
-                        h, body = parse(content)
-                        whole = h.get("warc-type") != "revisit"
-                        ids = [int(v) if v else None for v in (h.get("x-page-id"), h.get("x-refers-to-page"))]
-                        sha = digest(body) if whole else h.get("warc-payload-digest", "").removeprefix("sha1:")
-                        out.append((path, place, h.get("warc-type"), ids[0], h.get("warc-target-uri"), sha, len(body) if whole else int(h.get("x-payload-bytes", 0)), ids[1], body if whole else None))
-                        held += len(body)
+                    for place, content, error in members(f, start, start + range_bytes):
+                        out.append(row(path, place, content, error))
+                        held += len(content or b"")
                         if held > 4 << 20:
                             yield made(out)
                             out, held = [], 0
@@ -212,7 +245,22 @@ def read(spark: SparkSession, manifest: DataFrame, range_bytes: int = 8 << 20) -
     return ranges.mapInArrow(run, RECORD)
 
 
+def complete(records: DataFrame, manifest: DataFrame) -> DataFrame:
+    """path, records, found, errors of the archives that are not read whole: records missing, too many or damaged."""
+    got = records.groupBy("path").agg(F.count(F.when(F.col("error").isNull(), 1)).alias("found"), F.count("error").alias("errors"))
+    both = manifest.select("path", "records").join(got, "path", "left").na.fill(0, ["found", "errors"])
+    return both.where("records <> found or errors > 0")
+
+
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Write pages to archives in the shared folder and read them back."""
+    """Write pages to archives in the shared folder and read them back: a row per page without its payload.
+
+    The records are counted against the manifest; where one is damaged or missing the job fails instead of losing a row.
+    """
     spark = pages.sparkSession
-    return read(spark, write(pages, scratch_path(spark, "warc"), least_bytes))
+    manifest = write(pages, scratch_path(spark, "warc"), least_bytes)
+    records = stored(read(spark, manifest).drop("payload"), "warc-records")
+    broken = complete(records, manifest).limit(5).collect()
+    if broken:
+        raise ValueError(f"archives that were not read whole: {broken}")
+    return records.drop("error")

@@ -276,15 +276,31 @@ def test_warc(spark):
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
-def test_damaged_member_is_stepped_over(tmp_path):
+def test_damaged_members_are_reported(spark, tmp_path):
     import io
 
-    good = [warc.record(i, "u", os.urandom(3000), None) for i in range(3)]
+    good = [warc.record(i, "u", os.urandom(3000), None) for i in range(4)]
     bad = bytearray(good[1])
     bad[len(bad) // 2] ^= 0xFF
-    data = good[0] + bytes(bad) + good[2]
-    found = [warc.parse(c)[0]["x-page-id"] for _, c in warc.members(io.BytesIO(data), 0, len(data))]
-    assert found == ["0", "2"]
+    lost = bytearray(good[2])
+    lost[:3] = b"xxx"  # no magic is left
+    data = good[0] + bytes(bad) + bytes(lost) + good[3]
+    for step in (len(data), 700, 97):
+        found, errors = [], []
+        for start in range(0, len(data), step):
+            for place, content, error in warc.members(io.BytesIO(data), start, min(start + step, len(data))):
+                (errors if error else found).append((place, error) if error else warc.parse(content)[0]["x-page-id"])
+        assert found == ["0", "3"] and errors[0][0] == len(good[0])
+    names = [e for _, _, e in warc.members(io.BytesIO(good[0] + bytes(lost) + good[3]), 0, 10**6)]
+    assert names == [None, "bytes that are no record", None]
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    manifest = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz", len(data), 4)], "path string, bytes long, records long")
+    records = warc.read(spark, manifest, 700)
+    assert {r["page_id"] for r in records.where("error is null").collect()} == {0, 3} and records.where("error is not null").count() >= 1
+    assert [tuple(r)[1:3] for r in warc.complete(records, manifest).collect()] == [(4, 2)]
+    for cut in range(0, len(data), 211):  # truncated anywhere: no crash, and nothing is lost in silence
+        got = list(warc.members(io.BytesIO(data[:cut]), 0, cut))
+        assert not cut or got
 
 
 # --- op5 -------------------------------------------------------------------------------------------
@@ -506,10 +522,32 @@ def test_hnsw(spark):
     assert hnsw.nearest(df.where("false"), df.where("vec_id % 100 = 0"), 10).count() == 0
 
 
+@pytest.mark.parametrize("scale, shift", [(1e20, 0), (1e200, 0), (1e-200, 0), (1, 1000.0)])
+def test_hnsw_at_other_magnitudes(scale, shift):
+    rng = np.random.default_rng(4)
+    X = rng.normal(size=(600, 16)) * scale + shift
+    e = hnsw.exponent_of(X)
+    g, hit = hnsw.Graph(hnsw.scaled(X, e)).build(), 0
+    for q in X[:40]:
+        d = hnsw.distances(X, q)
+        assert np.isfinite(d).all() and np.allclose(d / scale, np.sqrt((((X - q) / scale) ** 2).sum(axis=1)))
+        hit += len(set(np.argsort(d)[:10].tolist()) & set(g.search(hnsw.scaled(q, e), 96)[:10]))
+    assert hit >= 0.95 * 400
+
+
+def test_hnsw_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "BLOCK", 7)
+    X = np.random.default_rng(6).normal(size=(400, 4))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "vec_id long, embedding array<double>")
+    got = hnsw.nearest(df, df.where("vec_id % 10 = 0"), 3).collect()
+    want = {(q, i) for q in range(0, 400, 10) for i in [i for i in np.argsort(((X - X[q]) ** 2).sum(axis=1)) if i != q][:3]}
+    assert len(got) == 120 and len(want & {(r["query_id"], r["vec_id"]) for r in got}) >= 115
+
+
 def test_flat_arrays_hold_the_graph():
-    X = np.random.default_rng(3).normal(size=(300, 8)).astype(np.float32)
+    X = np.random.default_rng(3).normal(size=(300, 8))
     g = hnsw.Graph(X).build()
-    again = hnsw.Graph.of(g.flat())
+    again = hnsw.Graph.of(g.flat() | {"vectors": X.tobytes(), "exponent": 0})
     assert [g.search(q, 20) for q in X[:20]] == [again.search(q, 20) for q in X[:20]]
 
 
