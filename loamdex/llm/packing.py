@@ -1,15 +1,16 @@
 """Harmonic packing of tokenised documents into fixed-capacity sequences.
 
-Each document becomes its token ids plus an end id. It is cut into full pieces of the
-capacity C and a tail; the tail is cut greedily at reciprocal sizes C/k, so that a piece of
-class k (C/(k+1) < length <= C/k) wastes little. A worker fills bins of class k with exactly
-k pieces, independently of all others: no shuffle and no state but the open bins (one a class).
-What is left open when a partition ends is laid end to end, cut at C, and its last rest is cut
-at powers of two, which sequences need no padding for.
+Each document becomes its token ids plus an end id; one above the capacity C gives full pieces of C and a tail. A piece
+of class k (C/(k+1) < length <= C/k) goes to a bin of its class, which holds exactly k of them: a worker packs
+independently of all others, without a shuffle and with no state but its open bins. A bin that has its k pieces waits
+for fillers of the room that is left: a later document that fits goes in whole, tightest room first. Only when a worker's
+rooms add up to ROOMS sequences is a document cut to fill them. What is left open when a partition ends is laid end to
+end, cut at C, and its last rest is cut at powers of two, which sequences need no padding for.
 """
 
 from __future__ import annotations
 
+import bisect
 import json
 import os
 from collections.abc import Iterator
@@ -22,6 +23,8 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 #: Fixed value: the pre-tokenizer pattern of byte-level BPE tokenizers with "use_regex".
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BIN_BITS = 36
+#: Sequences' worth of waiting room from which documents are cut to fill it, and the share of a sequence's room that stays padding.
+ROOMS, PADDING = 16, 1 / 256
 
 
 class ByteLevelEncoder:
@@ -55,7 +58,7 @@ class ByteLevelEncoder:
             try:
                 return self.fast.encode(text, allowed_special="all", disallowed_special=())
             except BaseException as e:  # a panic of the pattern engine is no Exception
-                if isinstance(e, (KeyboardInterrupt, SystemExit)):
+                if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError, GeneratorExit)):
                     raise
         if self.slow is None:
             from tokenizers import Tokenizer
@@ -64,56 +67,82 @@ class ByteLevelEncoder:
         return self.slow.encode(text, add_special_tokens=False).ids
 
 
-def cuts(length: int, capacity: int, smallest: int) -> list[int]:
-    """Piece lengths of a document: full ones, then greedy reciprocal sizes, then the rest as it is."""
-    out, rest = [capacity] * (length // capacity), length % capacity
-    while rest:
-        k = capacity // rest
-        size = capacity // k
-        if size > rest:
-            size = capacity // (k + 1)
-        if size < smallest or size == rest:
-            out.append(rest)
-            break
-        out.append(size)
-        rest -= size
-    return out
-
-
 class Bins:
-    """The open bins of one worker."""
+    """The open bins of one worker. A piece is (doc_id, start, length, ids, doc_tokens)."""
 
     def __init__(self, capacity: int, worker: int):
-        self.capacity, self.worker, self.made = capacity, worker, 0
+        self.capacity, self.worker, self.made, self.room, self.number = capacity, worker, 0, 0, 0
         self.open: dict[int, list[tuple]] = {}
-
-    def next_id(self) -> int:
-        self.made += 1
-        return (self.worker << BIN_BITS) + self.made - 1
+        self.waiting: list[tuple[int, int, list[tuple]]] = []  # (room, number, pieces) by room
 
     def close(self, pieces: list[tuple]) -> list[tuple]:
-        sequence, at, out = self.next_id(), 0, []
+        sequence, at, out = (self.worker << BIN_BITS) + self.made, 0, []
+        self.made += 1
         for p in pieces:
             out.append((*p, sequence, at))
             at += p[2]
         return out
 
+    def wait(self, pieces: list[tuple]) -> list[tuple]:
+        """Close a bin without room worth filling, or let it wait."""
+        room = self.capacity - sum(p[2] for p in pieces)
+        if room <= PADDING * self.capacity:
+            return self.close(pieces)
+        self.number += 1
+        bisect.insort(self.waiting, (room, self.number, pieces))
+        self.room += room
+        return []
+
+    def take(self, at: int) -> tuple[int, list[tuple]]:
+        room, _, pieces = self.waiting.pop(at)
+        self.room -= room
+        return room, pieces
+
+    def document(self, doc_id, ids: bytes, tokens: int) -> list[tuple]:
+        out, whole = [], tokens // self.capacity * self.capacity
+        for start in range(0, whole, self.capacity):
+            out += self.close([(doc_id, start, self.capacity, ids[4 * start : 4 * (start + self.capacity)], tokens)])
+        return out + (self.add((doc_id, whole, tokens - whole, ids[4 * whole :], tokens)) if tokens > whole else [])
+
     def add(self, piece: tuple) -> list[tuple]:
-        k = self.capacity // piece[2]
-        held = self.open.setdefault(k, [])
+        n = piece[2]
+        at = bisect.bisect_left(self.waiting, (n,))
+        if at < len(self.waiting):
+            return self.wait([*self.take(at)[1], piece])
+        if self.room >= ROOMS * self.capacity:
+            return self.cut(piece)
+        held = self.open.setdefault(self.capacity // n, [])
         held.append(piece)
-        return self.close(self.open.pop(k)) if len(held) == k else []
+        return self.wait(self.open.pop(self.capacity // n)) if len(held) == self.capacity // n else []
+
+    def cut(self, piece: tuple) -> list[tuple]:
+        """Fill the widest rooms with a document's parts; it is wider than any of them, and all together are wider than it."""
+        out, (doc, start, n, ids, tokens) = [], piece
+        while n:
+            room, pieces = self.take(len(self.waiting) - 1)
+            part = min(n, room)
+            out += self.wait([*pieces, (doc, start, part, ids[: 4 * part], tokens)])
+            start, n, ids = start + part, n - part, ids[4 * part :]
+        return out
 
     def finish(self) -> list[tuple]:
-        left = [p for k in sorted(self.open) for p in self.open[k]]
+        out, loose = [], sorted((p for k in self.open for p in self.open[k]), key=lambda p: -p[2])
+        left = []
+        for p in loose:
+            at = bisect.bisect_left(self.waiting, (p[2],))
+            if at < len(self.waiting):
+                out += self.wait([*self.take(at)[1], p])
+            else:
+                left.append(p)
+        left += [p for _, _, pieces in self.waiting for p in pieces]
         total = sum(p[2] for p in left)
         sizes = [self.capacity] * (total // self.capacity)
         sizes += [1 << b for b in reversed(range(self.capacity.bit_length())) if (total % self.capacity) >> b & 1]
-        out, held, room = [], [], sizes.pop(0) if sizes else 0
-        for doc, start, length, ids, whole in left:
+        held, room = [], sizes.pop(0) if sizes else 0
+        for doc, start, length, ids, tokens in left:
             while length:
                 n = min(length, room)
-                held.append((doc, start, n, ids[: 4 * n], whole))
+                held.append((doc, start, n, ids[: 4 * n], tokens))
                 start, length, ids, room = start + n, length - n, ids[4 * n :], room - n
                 if not room:
                     out += self.close(held)
@@ -121,10 +150,10 @@ class Bins:
         return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, smallest_cut: int = 16) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset.
 
-    Null texts count as empty (the end id alone). Repeated rows are documents of their own. Null ids stay
+    Null texts count as empty (the end id alone). Very long texts are encoded whole. Repeated rows are documents of their own. Null ids stay
     null. An empty table gives no rows. Sequence ids hold the partition and a counter, so they are unique
     without a shuffle and the same when a task is run again.
     """
@@ -142,10 +171,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
         for b in batches:
             for key, text in zip(b.column(0), b.column(1), strict=True):
                 ids = [*encode(text.as_py() or ""), end_id]
-                raw, whole, start = np.array(ids, "<u4").tobytes(), len(ids), 0
-                for n in cuts(whole, capacity, smallest_cut):
-                    out += bins.add((key.as_py(), start, n, raw[4 * start : 4 * (start + n)], whole))
-                    start += n
+                out += bins.document(key.as_py(), np.array(ids, "<u4").tobytes(), len(ids))
                 if len(out) >= 1000:
                     yield batch(out)
                     out = []

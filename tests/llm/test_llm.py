@@ -374,19 +374,42 @@ def test_packing(spark, tokenizer):
     assert packing.pack(empty(spark), tokenizer).count() == 0
 
 
-def test_cuts_and_bins():
-    for n in [*range(1, 700), 2048, 2049, 5000, 12345]:
-        parts = packing.cuts(n, 2048, 16)
-        assert sum(parts) == n and min(parts) > 0 and max(parts) <= 2048
-    bins, out, rng = packing.Bins(64, 3), [], random.Random(1)
-    for i in range(200):
-        n = rng.randrange(1, 65)
-        out += bins.add((i, 0, n, b"\0" * 4 * n, n))
-    out += bins.finish()
-    totals = {}
-    for r in out:
-        totals[r[5]] = totals.get(r[5], 0) + r[2]
-    assert all(t <= 64 and s >> packing.BIN_BITS == 3 for s, t in totals.items())
+def test_bins():
+    for longest in (64, 300, 20):
+        bins, out, rng = packing.Bins(64, 3), [], random.Random(1)
+        lengths = [rng.randrange(1, longest) for _ in range(2000)]
+        for i, n in enumerate(lengths):
+            out += bins.document(i, b"".join(j.to_bytes(4, "little") for j in range(n)), n)
+        assert bins.room <= (packing.ROOMS + 1) * 64 and sum(len(v) for v in bins.open.values()) < 300
+        out += bins.finish()
+        totals, parts, at = {}, {}, {}
+        for doc, start, n, ids, tokens, sequence, offset in out:
+            assert offset == totals.get(sequence, 0) and sequence >> packing.BIN_BITS == 3 and tokens == lengths[doc]
+            totals[sequence] = offset + n
+            parts.setdefault(doc, []).append((start, n))
+            assert ids == b"".join(j.to_bytes(4, "little") for j in range(start, start + n))
+        assert max(totals.values()) <= 64
+        for i, n in enumerate(lengths):
+            own = sorted(parts[i])
+            assert sum(m for _, m in own) == n and [s for s, _ in own] == list(np.cumsum([0, *(m for _, m in own)])[:-1])
+        places = sum(t if t & (t - 1) == 0 else 64 for t in totals.values())
+        assert sum(lengths) >= 0.97 * places
+        fits = [i for i, n in enumerate(lengths) if n <= 64]
+        assert sum(len(parts[i]) > 1 for i in fits) < 0.25 * len(fits)
+
+
+def test_encoder_against_tokenizers(tokenizer):
+    from hypothesis import given, settings, strategies as st
+    from tokenizers import Tokenizer
+
+    model, encode = Tokenizer.from_file(tokenizer), packing.ByteLevelEncoder(tokenizer)
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.one_of(st.text(max_size=80), st.text("ab 'stdlm\n\t\r0129.,!é中\u00a0\u200d<|endoftxpa>", max_size=120)))
+    def same(text):
+        assert encode(text) == model.encode(text, add_special_tokens=False).ids
+
+    same()
 
 
 # --- op7 -------------------------------------------------------------------------------------------
