@@ -143,21 +143,14 @@ def calibrate(model: Classifier, held: DataFrame, totals: dict[str, int]) -> Cla
     return model
 
 
-def rate(steps: list[list[float]]) -> Column:
-    """The rate of a row from its posteriors _p: the fold of all steps, from 1."""
+def rate(steps: list[list[float]], most: float | None = None) -> Column:
+    """The rate of a row from its posteriors _p: the fold of all steps, from 1, never above ``most``."""
     if not steps:
         return F.lit(1.0)
     moves = F.array(*[F.array(*[F.lit(float(v)) for v in e]) for e in steps])
     dot = lambda e: F.aggregate(F.zip_with("_p", e, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return F.aggregate(moves, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - dot(e)))
-
-
-def peak(steps: list[list[float]], domains: int) -> float:
-    """The largest rate any posteriors can have: the fold is convex in them, so it stands at a domain that is certain."""
-    best = [1.0] * domains
-    for e in steps:
-        best = [max(0.0, r - x) for r, x in zip(best, e, strict=True)]
-    return max(best)
+    clip = lambda r: F.greatest(F.lit(0.0), r if most is None else F.least(r, F.lit(most)))
+    return F.aggregate(moves, F.lit(1.0), lambda r, e: clip(r - dot(e)))
 
 
 @dataclass
@@ -172,17 +165,21 @@ class Fit:
     settled: bool
 
 
-def fit(members: DataFrame, weights: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> Fit:
+def fit(members: DataFrame, weights: list[float], steps: int = STEPS, tolerance: float = TOLERANCE, anchor: int | None = None) -> Fit:
     """Projected gradient for rows of (_tokens, _p), so that expected totals match ``weights`` of all tokens.
 
     Stops when all residuals are below ``tolerance`` of all tokens, or no longer shrink: targets that no
-    nonnegative rates reach are met as closely as least squares allow.
+    nonnegative rates reach are met as closely as least squares allow. With an ``anchor`` no rate is above 1: the
+    weights of the other domains are the most they may have of what is kept, so those above are thinned to them, and
+    those below stay whole (their residual is negative).
     """
     d = len(weights)
+    want, free = np.array(weights), np.array([i != anchor for i in range(d)])
     cells = [(i, j) for i in range(d) for j in range(i, d)]
+    most = None if anchor is None else 1.0
 
     def totals(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
-        rows = members.select("_tokens", "_p", rate(steps).alias("_r"))
+        rows = members.select("_tokens", "_p", rate(steps, most).alias("_r"))
         p = lambda i: F.get("_p", F.lit(i))
         live = F.when(F.col("_r") > 0, F.col("_tokens")).otherwise(0)
         sums = [F.sum(F.col("_tokens") * F.col("_r") * p(i)) for i in range(d)] + [F.sum(live * p(i) * p(j)) for i, j in cells]
@@ -196,46 +193,50 @@ def fit(members: DataFrame, weights: list[float], steps: int = STEPS, tolerance:
     whole = float(now.sum())
     if not whole:
         return Fit([], [0.0] * d, True)
-    off = now / whole - np.array(weights)
-    out: list[list[float]] = []
+    beyond = lambda now: now / whole - want * (1.0 if anchor is None else now.sum() / whole)
+    # what counts of a residual: with an anchor, a domain that nothing was taken from may be short
+    counts = lambda off, taken: np.where(free & ((anchor is None) | (off > 0) | (taken > 1e-12)), off, 0.0)
+    taken, out = np.zeros(d), []
+    off = counts(beyond(now), taken)
     while np.abs(off).max() >= tolerance and len(out) < steps:
-        move = np.linalg.lstsq(H / whole, off, rcond=1e-10)[0]
+        move = np.zeros(d)
+        at = np.nonzero(off)[0]
+        move[at] = np.linalg.lstsq(H[np.ix_(at, at)] / whole, off[at], rcond=1e-10)[0]
+        move = move if anchor is None else np.maximum(move, -taken)
         for halving in range(HALVINGS):
-            tried = [*out, (move / 2**halving).tolist()]
-            now, H_ = totals(tried)
-            new = now / whole - np.array(weights)
+            part = move / 2**halving
+            now_, H_ = totals([*out, part.tolist()])
+            new = counts(beyond(now_), taken + part)
             if np.square(new).sum() < np.square(off).sum() * (1 - 1e-6):
                 break
         else:
             break
-        out, off, H = tried, new, H_
-    return Fit(out, off.tolist(), bool(np.abs(off).max() < tolerance))
+        out, taken, off, now, H = [*out, part.tolist()], taken + part, new, now_, H_
+    return Fit(out, (beyond(now) if anchor is None else now / now.sum() - want).tolist(), bool(np.abs(off).max() < tolerance))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (doc_id), tokens, posteriors (array in the order of ``targets``), rate, thinned and residuals of every row.
+    """The kept columns (doc_id), tokens, posteriors (array in the order of ``targets``), rate and residuals of every row.
 
-    ``thinned`` is the rate over the largest one: the chance of a row where none is repeated, which leaves the shares
-    as they are. ``residuals`` are the same in every row: by how much of all tokens each domain misses its target.
-    Null and empty texts are one token and classified by what they lack. Very long texts are taken whole. Null ids and
-    repeated rows stay; an empty table gives no rows. Kept columns that are called like a column of the result give
-    way to it.
+    ``residuals`` are the same in every row: by how much of all tokens each domain misses its target. Null and empty
+    texts are one token and classified by what they lack. Very long texts are taken whole. Null ids and repeated rows
+    stay; an empty table gives no rows. Kept columns that are called like a column of the result give way to it.
     """
     mixed, _ = fitted(docs, labelled, targets)
-    own = ["tokens", "posteriors", "rate", "thinned", "residuals"]
+    own = ["tokens", "posteriors", "rate", "residuals"]
     return mixed.select(*[F.col("_row")[c].alias(c) for c in keep or ["doc_id"] if c not in own], *own)
 
 
-def fitted(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> tuple[DataFrame, Fit]:
+def fitted(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], anchor: str | None = None) -> tuple[DataFrame, Fit]:
     """The result of mix() with each whole row in _row, and the fit."""
     domains = list(targets)
     model = train(docs, labelled, domains)
     members = stored(model.apply(docs.select(F.struct("*").alias("_row"), F.col("text"))).select("_row", "_tokens", "_p"), "mixing-members")
-    weight = sum(targets.values())
-    found = fit(members.select("_tokens", "_p"), [targets[d] / weight for d in domains])
-    top = peak(found.steps, len(domains)) or 1.0
-    more = {"tokens": F.col("_tokens"), "posteriors": F.col("_p"), "rate": rate(found.steps), "residuals": F.array(*[F.lit(float(v)) for v in found.residuals])}
-    return members.withColumns(more).withColumn("thinned", F.col("rate") / top), found
+    weight, at = sum(targets.values()), domains.index(anchor) if anchor else None
+    # without a feature to tell domains by nothing can be thinned
+    found = Fit([], [0.0] * len(domains), False) if anchor and not model.features else fit(members.select("_tokens", "_p"), [targets[d] / weight for d in domains], anchor=at)
+    more = {"tokens": F.col("_tokens"), "posteriors": F.col("_p"), "rate": rate(found.steps, 1.0 if anchor else None), "residuals": F.array(*[F.lit(float(v)) for v in found.residuals])}
+    return members.withColumns(more), found
 
 
 def uniform(id_col: str | Column, seed: int = 0) -> Column:
@@ -243,10 +244,10 @@ def uniform(id_col: str | Column, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
 
 
-def thin(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", seed: int = 0) -> DataFrame:
-    """The rows of docs, each at most once, so that expected shares are the targets: a row stays with chance ``thinned``."""
-    mixed, _ = fitted(docs, labelled, targets)
-    return mixed.where(uniform(F.col("_row")[id_col], seed) < F.col("thinned")).select("_row.*")
+def thin(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], anchor: str, id_col: str = "doc_id", seed: int = 0) -> DataFrame:
+    """The rows of docs, each at most once, of which no domain but the anchor has more than its target; see fit()."""
+    mixed, _ = fitted(docs, labelled, targets, anchor)
+    return mixed.where(uniform(F.col("_row")[id_col], seed) < F.col("rate")).select("_row.*")
 
 
 def realise(mixed: DataFrame, id_col: str = "doc_id", seed: int = 0) -> DataFrame:

@@ -81,7 +81,7 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = mixing.label_domains(table(spark, sf_dir, "labels"))
     mixed = mixing.mix(table(spark, sf_dir, "documents"), labelled, MIX_TARGETS)
     shares = [F.get("posteriors", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(MIX_TARGETS)]
-    return mixed.select("doc_id", "tokens", *shares, "rate", "thinned", *[F.get("residuals", F.lit(i)).alias(f"residual_{d}") for i, d in enumerate(MIX_TARGETS)])
+    return mixed.select("doc_id", "tokens", *shares, "rate", *[F.get("residuals", F.lit(i)).alias(f"residual_{d}") for i, d in enumerate(MIX_TARGETS)])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -612,7 +612,7 @@ def test_projected_gradient_against_plain(spark):
         full = np.linalg.solve((live[:, None] * p).T @ p, (n * r) @ p - plan)  # the whole step, of which a half or less may be taken
         assert np.allclose(full / (full[0] / e[0]), e) and full[0] / e[0] >= 1 - 1e-9
         r = np.maximum(0, r - p @ np.array(e))
-    assert np.allclose(np.sort(got), np.sort(r)) and max(got) <= mixing.peak(found.steps, 3) + 1e-9
+    assert np.allclose(np.sort(got), np.sort(r))
     assert np.allclose(found.residuals, ((n * r) @ p) / n.sum() - np.array(w), atol=1e-9) and found.settled
     even = spark.createDataFrame([(10, [0.5, 0.5])] * 4, "_tokens long, _p array<double>")
     stuck = mixing.fit(even, [1.0, 0.0])  # no rates can part domains that every row shares
@@ -628,16 +628,18 @@ def test_thinned_mix_meets_its_targets(spark):
         rows.append((i, " ".join(rng.choice(vocabulary[d].split()) for _ in range(20)), d, 1, 2, 3, 4))
     docs = spark.createDataFrame(rows, "doc_id long, text string, domain string, _text int, tokens int, rate int, _p int")
     targets = {"clean": 0.96, "noisy": 0.02, "toxic": 0.02}
-    thinned = mixing.thin(docs, docs.select("doc_id", "domain"), targets)
+    thinned = mixing.thin(docs, docs.select("doc_id", "domain"), targets, "clean")
     assert thinned.columns == docs.columns
     kept = [r["domain"] for r in thinned.collect()]
     shares = {d: kept.count(d) / len(kept) for d in targets}
     assert kept.count("clean") >= 0.99 * 1800 and all(abs(shares[d] - w) < 0.01 for d, w in targets.items()), shares
     mixed = mixing.mix(docs, docs.select("doc_id", "domain"), targets, ["doc_id", "rate", "_text"])
-    assert mixed.columns == ["doc_id", "_text", "tokens", "posteriors", "rate", "thinned", "residuals"]
-    row = mixed.agg(F.max("thinned"), F.min("thinned"), F.max(F.array_max(F.transform("residuals", lambda x: F.abs(x))))).first()
-    assert 0 <= row[1] <= row[0] <= 1 + 1e-9 and row[2] < 1e-5
-    bare = mixing.thin(docs, docs.select("doc_id", "domain").where("false"), targets)
+    assert mixed.columns == ["doc_id", "_text", "tokens", "posteriors", "rate", "residuals"]
+    assert mixed.agg(F.max(F.array_max(F.transform("residuals", lambda x: F.abs(x))))).first()[0] < 1e-5
+    rare = docs.where("domain <> 'noisy' or doc_id % 1000 = 6")  # a domain that is short of its share stays whole
+    got = [r["domain"] for r in mixing.thin(rare, docs.select("doc_id", "domain"), targets, "clean").collect()]
+    assert got.count("noisy") == 3 and got.count("clean") >= 0.99 * 1800 and abs(got.count("toxic") / len(got) - 0.02) < 0.01
+    bare = mixing.thin(docs, docs.select("doc_id", "domain").where("false"), targets, "clean")
     assert bare.count() > 0
 
 
