@@ -9,17 +9,14 @@ from pyspark.sql import Column, functions as F
 
 from loamdex.functions import text as X
 
-TERM = re.compile(r'(-?)(?:(file|path|tag):)?(?:"([^"]*)"|(\S+))')
+#: A term: a minus, a field right before its value, and the value, in quotes (to the end if they stay open) or up to a space.
+TERM = re.compile(r'(-?)(?:(file|path|tag):)?(?:"([^"]*)(?:"|$)|([^ ]*))', re.IGNORECASE)
 
 
 def parse(query: str) -> list[tuple[bool, str, str]]:
-    """(negated, field, folded text) of each term; empty terms are left out."""
-    out = []
-    for neg, field, quoted, word in TERM.findall(query):
-        value = (quoted or word).lower()
-        if value and value != "-":
-            out.append((bool(neg), field or "path", value))
-    return out
+    """(negated, field, folded text) of each term; terms without a value, as they stand while one types, are left out."""
+    terms = ((neg, field.lower() or "path", (quoted or word).lower()) for neg, field, quoted, word in TERM.findall(query))
+    return [(bool(neg), field, value) for neg, field, value in terms if value]
 
 
 def matches(query: str, path: str = "path", tags: str | None = None) -> Column:

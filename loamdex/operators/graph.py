@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loamdex import schema as S
 from loamdex.session import settled
@@ -39,11 +41,11 @@ def within(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def shortest_path(edges: DataFrame, start, end, most: int = 32) -> list:
+def shortest_path(edges: DataFrame, start, end) -> list:
     """Node ids of a shortest path, the first by node order among equals; [start] for the same node, [] if there is none.
 
     Breadth first: each step keeps, for a newly reached node, the smallest parent of the front; only the end's
-    presence and, at the end, the path itself come to the driver.
+    presence and, at the end, the path itself come to the driver. The search ends when nothing new is reached.
     """
     if start == end:
         return [start]
@@ -51,7 +53,7 @@ def shortest_path(edges: DataFrame, start, end, most: int = 32) -> list:
     spark = edges.sparkSession
     front = spark.range(1).select(F.lit(start).alias("id"), F.lit(None).cast(both.schema["src"].dataType).alias("parent"), F.lit(0).alias("step"))
     seen = front
-    for step in range(1, most + 1):
+    for step in itertools.count(1):
         reached = front.select(F.col("id").alias("src")).join(both, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent")).withColumn("step", F.lit(step))
         front = settled(reached.join(seen.select("id"), "id", "left_anti"))
         if front.isEmpty():
@@ -62,7 +64,6 @@ def shortest_path(edges: DataFrame, start, end, most: int = 32) -> list:
             while path[-1] != start:
                 path.append(seen.where(F.col("id") == F.lit(path[-1])).first()["parent"])
             return path[::-1]
-    return []
 
 
 def closed(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -141,78 +142,55 @@ def overlay(*tables: DataFrame) -> DataFrame:
 
 
 # --- communities ---------------------------------------------------------------------------------
-def louvain(n: int, src: np.ndarray, dst: np.ndarray, seed: int = 7) -> np.ndarray:
-    """Community of each node 0..n-1 by local moves and contraction until modularity no longer grows."""
-    rng = np.random.default_rng(seed)
-    label = np.arange(n)
-    loops = np.zeros(n)
-    weights: dict[tuple[int, int], float] = {}
-    for a, b in zip(src.tolist(), dst.tolist(), strict=True):
-        if a == b:
-            loops[a] += 1
+def communities(edges: DataFrame, least_gain: float = 1e-6) -> DataFrame:
+    """id, community: Louvain over DataFrames, the same method at every size.
+
+    Each round every node sees the gain in modularity of joining each neighbouring community, and half of those that
+    would gain move (the half changes by hash, so that two nodes do not swap for ever). Rounds go on while modularity
+    rises by ``least_gain``; then communities become the nodes of the next level, until a level merges nothing. A round
+    shuffles edges twice and is written to the shared folder; only its modularity comes to the driver. A community is
+    named after its smallest node.
+    """
+    both = doubled(edges).where("src is not null and dst is not null")
+    now = settled(both.groupBy("src", "dst").agg(F.sum(F.lit(1.0)).alias("w")))
+    label = settled(now.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id")))
+    whole = now.agg(F.sum("w")).first()[0]
+    while whole:
+        mass = settled(now.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")))
+        found = _moves(now, mass, whole, least_gain)
+        names = found.groupBy("community").agg(F.min("id").alias("name"))
+        found = settled(found.join(names, "community").select("id", F.col("name").alias("community")))
+        merged = found.select("community").distinct().count() < found.count()
+        label = settled(label.join(found.select(F.col("id").alias("community"), F.col("community").alias("_to")), "community").select("id", F.col("_to").alias("community")))
+        if not merged:
+            break
+        ends = now.join(found.select(F.col("id").alias("src"), F.col("community").alias("a")), "src").join(found.select(F.col("id").alias("dst"), F.col("community").alias("b")), "dst")
+        now = settled(ends.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
+    return label
+
+
+def _moves(now: DataFrame, mass: DataFrame, whole: float, least_gain: float) -> DataFrame:
+    """id, community after the local moves of one level. now: src, dst, w in both directions; mass: id, k."""
+    own = settled(mass.select("id", "k", F.col("id").alias("community")))
+    best, kept, quiet = None, own, 0
+    for turn in itertools.count():
+        tot = own.groupBy("community").agg(F.sum("k").alias("t"))
+        near = now.join(own.select(F.col("id").alias("dst"), F.col("community").alias("c")), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.sum("w").alias("w"), F.sum(F.when(F.col("src") == F.col("dst"), F.col("w")).otherwise(0.0)).alias("loop"))
+        mine = own.join(tot.withColumnRenamed("t", "own_t"), "community")
+        seen = settled(near.join(tot.select(F.col("community").alias("c"), "t"), "c").join(mine, "id"))
+        stay = F.col("c") == F.col("community")
+        score = (seen.agg(F.sum(F.when(stay, F.col("w") / whole))).first()[0] or 0.0) - (tot.agg(F.sum((F.col("t") / whole) ** 2)).first()[0] or 0.0)
+        if best is None or score > best + least_gain:
+            best, kept, quiet = score, own, 0
         else:
-            weights[min(a, b), max(a, b)] = weights.get((min(a, b), max(a, b)), 0.0) + 1.0
-    while True:
-        near: list[dict[int, float]] = [{} for _ in range(n)]
-        for (a, b), w in weights.items():
-            near[a][b] = near[b][a] = w
-        k = np.array([sum(x.values()) for x in near]) + 2 * loops
-        total = k.sum()
-        own, mass = np.arange(n), k.copy()
-        moved = any_move = total > 0
-        any_move = False
-        while moved:
-            moved = False
-            for i in rng.permutation(n).tolist():
-                old = own[i]
-                mass[old] -= k[i]
-                links: dict[int, float] = {}
-                for j, w in near[i].items():
-                    links[own[j]] = links.get(own[j], 0.0) + w
-                best, gain = old, links.get(old, 0.0) - k[i] * mass[old] / total
-                for c, w in sorted(links.items()):
-                    g = w - k[i] * mass[c] / total
-                    if g > gain + 1e-12:
-                        best, gain = c, g
-                mass[best] += k[i]
-                if best != old:
-                    own[i], moved, any_move = best, True, True
-        if not any_move:
-            return label
-        ids, compact = np.unique(own, return_inverse=True)
-        label = compact[label]
-        new_loops, new_weights = np.zeros(len(ids)), {}
-        np.add.at(new_loops, compact, loops)
-        for (a, b), w in weights.items():
-            p, q = int(compact[a]), int(compact[b])
-            if p == q:
-                new_loops[p] += w
-            else:
-                new_weights[min(p, q), max(p, q)] = new_weights.get((min(p, q), max(p, q)), 0.0) + w
-        n, loops, weights = len(ids), new_loops, new_weights
-
-
-def communities(edges: DataFrame, seed: int = 7, most_edges: int = 2_000_000) -> DataFrame:
-    """id, community: Louvain in one task for graphs of a checked size; larger ones by label propagation."""
-    if edges.count() > most_edges:
-        return propagated(edges)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, at = np.unique(np.concatenate([pdf["src"].to_numpy(), pdf["dst"].to_numpy()]), return_inverse=True)
-        return pd.DataFrame({"id": ids, "community": louvain(len(ids), at[: len(pdf)], at[len(pdf) :], seed)})
-
-    kind = edges.schema["src"].dataType.simpleString()
-    return edges.select("src", "dst").orderBy("src", "dst").withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(one, f"id {kind}, community long")
-
-
-def propagated(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """id, community by label propagation: each round a node takes its neighbours' most frequent label, ties to the smallest."""
-    both = settled(doubled(edges))
-    labels = both.select(F.col("src").alias("id")).distinct().withColumn("community", F.xxhash64("id").bitwiseAND(F.lit((1 << 62) - 1)))
-    for _ in range(rounds):
-        votes = both.join(labels.select(F.col("id").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.count("*").alias("n"))
-        labels = settled(votes.groupBy("id").agg(F.max_by("community", F.struct("n", (-F.col("community")).alias("c"))).alias("community")))
-    return labels
+            quiet += 1
+            if quiet == 2:  # either half had its turn
+                return kept.select("id", "community")
+        gain = F.col("w") - F.when(stay, F.col("loop")).otherwise(0.0) - F.col("k") * (F.col("t") - F.when(stay, F.col("k")).otherwise(0.0)) / whole
+        choice = seen.withColumn("g", gain).groupBy("id", "k", "community", "own_t").agg(F.max(F.when(stay, F.col("g"))).alias("g0"), F.max("g").alias("g1"), F.min_by("c", F.struct((-F.col("g")).alias("g"), "c")).alias("to"))
+        staying = F.coalesce("g0", -F.col("k") * (F.col("own_t") - F.col("k")) / whole)
+        turns = F.pmod(F.xxhash64("id", F.lit(turn // 2)), F.lit(2)) == turn % 2
+        own = settled(choice.select("id", "k", F.when((F.col("g1") > staying + 1e-12) & turns, F.col("to")).otherwise(F.col("community")).alias("community")))
 
 
 def ranked_communities(members: DataFrame, least: int = S.MIN_COMMUNITY, top: int = S.TOP_COMMUNITIES) -> DataFrame:
@@ -266,10 +244,18 @@ def layout(edges: DataFrame, seed: int = 7) -> DataFrame:
     return edges.select("src", "dst").orderBy("src", "dst").withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(one, f"id {kind}, x double, y double, z double")
 
 
-def seed_place(node: str):
+def fnv1a(text: str) -> Column:
+    """The 32-bit FNV-1a hash of a text's UTF-16 code units below 65536, as a long."""
+    units = F.transform(F.filter(F.split(F.col(text), ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    step = lambda h, u: F.pmod(h.bitwiseXOR(u) * F.lit(16777619), F.lit(1 << 32))
+    return F.aggregate(units, F.lit(2166136261).cast("long"), step)
+
+
+def seed_place(node: str) -> Column:
     """x, y, z of a node's hash on the unit sphere."""
-    u = F.pmod(F.xxhash64(node), F.lit(1 << 20)) / float(1 << 20)
-    v = F.pmod(F.shiftright(F.xxhash64(node), 20), F.lit(1 << 20)) / float(1 << 20)
+    h = fnv1a(node)
+    u = F.pmod(h, F.lit(1 << 16)) / float(1 << 16)
+    v = F.shiftrightunsigned(h, 16) / float(1 << 16)
     z, a = 2 * u - 1, 2 * np.pi * v
     r = F.sqrt(F.greatest(F.lit(0.0), 1 - z * z))
     return F.struct((r * F.cos(a)).alias("x"), (r * F.sin(a)).alias("y"), z.alias("z"))

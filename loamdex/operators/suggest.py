@@ -32,19 +32,6 @@ def cue_words(mentions: DataFrame, top: int = 30, shown: int = 6) -> DataFrame:
     return kept.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "w"))), lambda x: x["w"]).alias("cues"))
 
 
-def weak_aliases(entities: DataFrame, block: str = "type", least: int = 4) -> DataFrame:
-    """a, b: entity pairs of a block where the parts of one name are all parts of the other's.
-
-    Pairs are made only where the rarer name's first part stands in the other, by an equi-join on parts.
-    """
-    parts = F.array_distinct(F.filter(F.split(F.lower("name"), r"[\s_\-./]+"), lambda p: F.char_length(p) >= least))
-    e = entities.select("entity_id", block, parts.alias("parts")).where(F.size("parts") > 0)
-    small = e.select(F.col("entity_id").alias("s"), block, F.col("parts").alias("sp"), F.array_min("parts").alias("k"))
-    large = e.select(F.col("entity_id").alias("l"), block, F.col("parts").alias("lp"), F.explode("parts").alias("k"))
-    j = small.join(large, [block, "k"]).where((F.col("s") != F.col("l")) & (F.size(F.array_except("sp", "lp")) == 0))
-    return j.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct()
-
-
 def search_box(nodes: DataFrame, asked: str, cap: int = 50, hubs: int = 20) -> DataFrame:
     """Nodes (id, name, degree) for what was typed: hubs for nothing, else whole, leading, contained and near names."""
     q = asked.strip().lower()

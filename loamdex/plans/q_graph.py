@@ -151,10 +151,33 @@ def split_senses(spark, sf):
     return resolve.split_senses(m, rules.withColumnRenamed("rule_ord", "ord")).select(F.col("id").alias("ord"), "name", "sense")
 
 
-@query("alias_pairs")
+#: A word for each nation, drawn by its key from consonants and vowels that no fold touches: with its region in two words,
+#: the other way round in one, shortened, in Hangul and romanised.
+NAMES = """WITH n AS (SELECT CAST(n_nationkey AS BIGINT) AS k, lower(r_name) AS r FROM nation JOIN region ON n_regionkey = r_regionkey)"""
+
+
+def named(spark, sf):
+    n = V.table(spark, sf, "nation").join(V.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    k, r = F.col("n_nationkey").cast("long"), F.lower("r_name")
+    pick = lambda table, at: F.get(F.array(*[F.lit(x) for x in table]), at.cast("int"))
+
+    def syllable(i):
+        code = 44032 + 588 * pick([2, 5, 6, 9, 18], F.floor(i / 5)) + 28 * pick([0, 5, 8, 13, 20], i % 5)
+        bits = [0xE0 + F.floor(code / 4096), 0x80 + F.floor(code / 64) % 64, 0x80 + code % 64]
+        return F.decode(F.unhex(F.concat(*[F.hex(x.cast("long")) for x in bits])), "UTF-8"), F.concat(pick(["n", "r", "m", "s", "h"], F.floor(i / 5)), pick(["a", "e", "o", "u", "i"], i % 5))
+
+    (h1, l1), (h2, l2) = syllable(k), syllable((k + 7) % 25)
+    w = F.concat(F.lit("z"), l1, F.lit("z"))
+    forms = {0: F.concat(w, F.lit(" "), r), 100: F.concat(r, w), 200: F.concat(F.lit("x "), w, F.lit(" "), r), 300: F.concat(F.lit("xz"), F.substring(r, 1, 1)), 400: F.concat(h1, h2), 500: F.concat(l1, l2)}
+    rows = F.explode(F.array(*[F.struct((k + at).alias("entity_id"), name.alias("name"), F.lit("kind").alias("type")) for at, name in forms.items()]))
+    return n.select(rows.alias("e")).select("e.*")
+
+
+@query("alias_pairs", f"""{NAMES} SELECT k AS a, 100 + k AS b, 'fused spelling' AS why FROM n WHERE NOT contains(r, ' ')
+UNION ALL SELECT a.k + 200, b.k + 300, 'abbreviation' FROM n a JOIN n b ON a.r[1] = b.r[1] WHERE NOT contains(a.r, ' ')
+UNION ALL SELECT k + 400, k + 500, 'romanised match' FROM n""")
 def alias_pairs(spark, sf):
-    p = V.table(spark, sf, "part").selectExpr("p_partkey AS entity_id", "p_name AS name", "p_brand AS type")
-    return resolve.alias_pairs(p)
+    return resolve.alias_pairs(named(spark, sf))
 
 
 # --- graph -----------------------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loamdex.operators import graph, status, suggest
+from loamdex.operators import graph, resolve, status, suggest
 from loamdex.plans import views as V
 from loamdex.plans.q_graph import MENTIONS, mentions
 from loamdex.plans.registry import query
@@ -29,7 +29,7 @@ def cue_words(spark, sf):
 
 @query("weak_aliases")
 def weak_aliases(spark, sf):
-    return suggest.weak_aliases(V.table(spark, sf, "part").selectExpr("p_partkey AS entity_id", "p_name AS name", "p_brand AS type"))
+    return resolve.weak_aliases(V.table(spark, sf, "part").selectExpr("p_partkey AS entity_id", "p_name AS name", "p_brand AS type"))
 
 
 @query("search_box", f"{NODES}, s AS (SELECT *, CASE WHEN name = 'c12' THEN 4 WHEN starts_with(name, 'c12') THEN 3 WHEN contains(name, 'c12') THEN 2 WHEN levenshtein(name, 'c12') <= 2 THEN 1 END AS fit FROM nodes) SELECT id, name, degree, fit FROM s WHERE fit IS NOT NULL ORDER BY fit DESC, degree DESC, id LIMIT 50")

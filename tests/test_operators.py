@@ -44,8 +44,19 @@ def test_names(spark):
     assert one(spark, X.acronym(F.lit("Natural language processing"))) == "nlp"
     assert one(spark, X.acronym(F.lit("Deep learning"))) == ""
     assert one(spark, X.slugify(F.lit("  "))) == "untitled"
-    assert one(spark, resolve.folded(F.lit("jinwoo"))) == "jinu"
-    assert resolve.romanized("한글") == "hangeul"
+    assert one(spark, resolve.folded(F.lit("Jin woo"))) == "jin u" and one(spark, resolve.folded(F.lit("jinwoo"))) == one(spark, resolve.folded(F.lit("진우"))) == "jinu"
+    assert one(spark, resolve.romanized(F.lit("한글 x 값"))) == "hangeul x gap"
+
+
+def test_alias_candidates(spark):
+    names = ["Kim Taehyun", "김태현", "taehyunkim", "Natural Language Processing", "NLP", "ABI", "api", "graph store", "graph", "database", "metadatabases", "Graph-Store"]
+    rows = [(i, n, "t") for i, n in enumerate(names)] + [(20, "nlp", "u"), (21, None, "t"), (22, " ", "t")]
+    e = spark.createDataFrame(rows, "entity_id long, name string, type string")
+    assert {tuple(r) for r in resolve.alias_pairs(e).collect()} == {(0, 1, "fused spelling"), (0, 2, "fused spelling"), (3, 4, "abbreviation")}
+    korean = spark.createDataFrame([(1, "지누", "t"), (2, "jinoo", "t"), (3, "jinu", "t")], "entity_id long, name string, type string")
+    assert {tuple(r) for r in resolve.alias_pairs(korean).collect()} == {(1, 2, "romanised match"), (1, 3, "romanised match")}
+    weak = {tuple(r) for r in resolve.weak_aliases(e).collect()}
+    assert weak == {(7, 8, "token containment"), (8, 11, "token containment"), (9, 10, "substring")}
 
 
 def test_frontmatter_and_dates(spark):
@@ -75,22 +86,44 @@ def test_masking(spark):
 def test_every_restored_mask(spark):
     value = "Abcdefgh12345678"
     cases = [("ANTHROPIC_KEY", "see sk-ant-api03-" + "a" * 24), ("ANTHROPIC_OAUTH", "see sk-ant-oat01-" + "a" * 24)]
-    cases += [("KAL_TOKEN", f"see {before}kal_" + "a" * 32) for before in ("", "/u/", "%2F", "%252F", "\\n", "\\x2F", "\\u002F", "\ud1a0\ud070\uc740")]
+    cases += [("OWN_TOKEN", f"see {before}own_" + "a" * 32) for before in ("", "/u/", "%2F", "%252F", "\\n", "\\x2F", "\\u002F", "\ud1a0\ud070\uc740")]
     cases += [("POSTMARK_TOKEN", "X-Postmark-Server-Token: " + "a1-" * 9)]
     labels = "credential credentials pass pwd pw DB_PASS datadog dd-api dd_api accountkey secret_key auth-token refresh_token \ube44\ubc00\ubc88\ud638 \uc554\ud638".split()
     cases += [("GENERIC_SECRET", f'{label}={value}') for label in labels] + [("GENERIC_SECRET", f'{{"pwd": "{value}"}}')]
     frame = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "i int, text string")
-    for r in masking.masked(frame).collect():
+    known = masking.with_own(masking.own_token("OWN_TOKEN", "own_"))
+    for r in masking.masked(frame, patterns=known).collect():
         name, text = cases[r["i"]]
         assert r["mask_counts"] == {name: 1} and f"[REDACTED:{name}]" in r["text"], text
-        assert value not in r["text"] and "kal_" not in r["text"] and "sk-ant" not in r["text"], text
-    assert all(cases[r["i"]][0] in r["names"] for r in frame.select("i", masking.leaks("text").alias("names")).collect())
-    kept = spark.createDataFrame([("file_kal_" + "a" * 32,), ("1Password:domain-key-acls-of-it",)], "text string")
-    assert all(r["mask_counts"] == {} for r in masking.masked(kept).collect())
+        assert value not in r["text"] and "own_" not in r["text"] and "sk-ant" not in r["text"], text
+    assert all(cases[r["i"]][0] in r["names"] for r in frame.select("i", masking.leaks("text", known).alias("names")).collect())
+    kept = spark.createDataFrame([("file_own_" + "a" * 32,), ("1Password:domain-key-acls-of-it",)], "text string")
+    assert all(r["mask_counts"] == {} for r in masking.masked(kept, patterns=known).collect())
     assert masking.masked(spark.createDataFrame([("X-Postmark-Server-Token: " + "a1-" * 9,)], "text string")).first()["text"] == "X-Postmark-Server-Token: [REDACTED:POSTMARK_TOKEN]"
 
 
+def test_masking_against_plain(spark):
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    odd = [(-1, "a password=Abcdefgh12345678 b\nAuthorization: Basic " + "QWxhZGRpbjpvcGVuIHNlc2FtZQ== https://u:secret99@h.io/ Cookie: sid=abcdefgh123"), (-2, ""), (-3, "sk-proj-" + "a1" * 20 + " postgres://u:longpass@h/db " + "hf_" + "b" * 40)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    got = {r["doc_id"]: (r["text"], r["mask_counts"]) for r in masking.masked(docs).collect()}
+    plain = [(n, re.compile(p.replace(r"\z", r"\Z"))) for n, p in masking.PATTERNS]
+    seen = set()
+    for r in docs.collect():
+        text, counts = r["text"], {}
+        for name, pattern in plain:
+            text, n = pattern.subn(lambda m, name=name: (m.group(1) if m.lastindex else "") + f"[REDACTED:{name}]", text)
+            counts |= {name: n} if n else {}
+        assert got[r["doc_id"]] == (text, counts)
+        seen |= counts.keys()
+    assert len(seen) > 5
+
+
 def test_filter_language():
+    assert filters.parse('"a b') == [(False, "path", "a b")] and filters.parse("file: x -file: tag:") == [(False, "path", "x")] and filters.parse("") == []
+    assert filters.parse('foo:bar FILE:"A  b"c -"x') == [(False, "path", "foo:bar"), (False, "file", "a  b"), (False, "path", "c"), (True, "path", "x")]
     assert filters.parse('a file:B -path:"c d" -') == [(False, "path", "a"), (False, "file", "b"), (True, "path", "c d")]
 
 
@@ -172,6 +205,8 @@ def test_components_random(spark):
 def test_graph_paths(spark):
     e = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (1, 4), (8, 9)], "src long, dst long")
     assert graph.shortest_path(e, 0, 3) == [0, 1, 2, 3] and graph.shortest_path(e, 2, 2) == [2] and graph.shortest_path(e, 0, 9) == []
+    long = spark.range(0, 34).selectExpr("id AS src", "id + 1 AS dst")
+    assert graph.shortest_path(long, 0, 34) == list(range(35))
     roots = spark.createDataFrame([(0,)], "id long")
     assert {r["id"]: r["depth"] for r in graph.within(e, roots, 2).collect()} == {0: 0, 1: 1, 2: 2, 4: 2}
 
@@ -180,6 +215,19 @@ def test_louvain_splits_cliques(spark):
     cliques = [(a, b) for base in (0, 10) for a, b in itertools.combinations(range(base, base + 5), 2)] + [(0, 10)]
     got = {r["id"]: r["community"] for r in graph.communities(spark.createDataFrame(cliques, "src long, dst long")).collect()}
     assert len({got[i] for i in range(5)}) == 1 and len({got[i] for i in range(10, 15)}) == 1 and got[0] != got[10]
+    assert graph.communities(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_seed_hash(spark):
+    def plain(text):
+        h = 2166136261
+        for c in text:
+            h = (h ^ ord(c)) * 16777619 % 2**32
+        return h
+
+    names = ["", "a", "note/one.md", "메모", "é" * 50]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select(graph.fnv1a("n").alias("h")).collect()
+    assert [r["h"] for r in got] == [plain(n) for n in names]
 
 
 def test_sync(spark):
