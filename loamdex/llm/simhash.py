@@ -74,13 +74,21 @@ def _halves() -> Column:
     return F.array(F.shiftrightunsigned("fp", HALF), F.col("fp").bitwiseAND(F.lit((1 << HALF) - 1)))
 
 
+def probes(marked: DataFrame, *keep: str) -> DataFrame:
+    """keep, part, own, value: the entries of multi-index tables that each row's fingerprint (column fp) looks up.
+
+    Two fingerprints within 3 bits meet: the half (``own``) of one is a value of the other, or they have a half in common.
+    """
+    table = marked.select(*keep, F.posexplode(_halves()).alias("part", "own"))
+    ball = "transform(sequence(0, 31), i -> if((own & shiftleft(1L, i)) = 0, own | shiftleft(1L, i), null))"
+    return table.select(*keep, "part", "own", F.explode(F.expr(f"filter(concat(array(own), {ball}), x -> x is not null)")).alias("value"))
+
+
 def links(distinct: DataFrame, most: int = 3) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints (column fp) within ``most`` (0 to 3) differing bits, a < b, each once or twice."""
     table = distinct.select("fp", F.posexplode(_halves()).alias("part", "value"))
-    ball = "transform(sequence(0, 31), i -> if((value & shiftleft(1L, i)) = 0, value | shiftleft(1L, i), null))"
-    probes = table.select("part", F.col("fp").alias("a"), F.explode(F.expr(f"filter(concat(array(value), {ball}), x -> x is not null)")).alias("value"), F.col("value").alias("own"))
     return (
-        probes.join(table, ["part", "value"])
+        probes(distinct, "fp").withColumnRenamed("fp", "a").join(table, ["part", "value"])
         .where((F.col("own") != F.col("value")) | (F.col("a") < F.col("fp")))
         .where((F.col("a") != F.col("fp")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= most))
         .select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"))
