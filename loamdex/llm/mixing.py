@@ -233,6 +233,9 @@ def fitted(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], anch
     model = train(docs, labelled, domains)
     members = stored(model.apply(docs.select(F.struct("*").alias("_row"), F.col("text"))).select("_row", "_tokens", "_p"), "mixing-members")
     weight, at = sum(targets.values()), domains.index(anchor) if anchor else None
+    if anchor:  # a row that is likeliest the anchor's is wholly so: what it may hold of other domains never thins it
+        sole = F.array(*[F.lit(float(d == anchor)) for d in domains])
+        members = members.withColumn("_p", F.when(F.get("_p", F.lit(at)) >= F.array_max("_p"), sole).otherwise(F.col("_p")))
     # without a feature to tell domains by nothing can be thinned
     found = Fit([], [0.0] * len(domains), False) if anchor and not model.features else fit(members.select("_tokens", "_p"), [targets[d] / weight for d in domains], anchor=at)
     more = {"tokens": F.col("_tokens"), "posteriors": F.col("_p"), "rate": rate(found.steps, 1.0 if anchor else None), "residuals": F.array(*[F.lit(float(v)) for v in found.residuals])}
@@ -245,7 +248,10 @@ def uniform(id_col: str | Column, seed: int = 0) -> Column:
 
 
 def thin(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], anchor: str, id_col: str = "doc_id", seed: int = 0) -> DataFrame:
-    """The rows of docs, each at most once, of which no domain but the anchor has more than its target; see fit()."""
+    """The rows of docs, each at most once, of which no domain but the anchor has more than its target; see fit().
+
+    Rows whose likeliest domain is the anchor all stay; they count as the anchor's alone, and only the others are thinned.
+    """
     mixed, _ = fitted(docs, labelled, targets, anchor)
     return mixed.where(uniform(F.col("_row")[id_col], seed) < F.col("rate")).select("_row.*")
 
