@@ -24,7 +24,11 @@ from loamdex.session import stored
 SAMPLE_PER_DOMAIN, FEATURES, PREFIX = 2000, 192, 5
 #: How many times likelier a feature must be in some domain than in the rest; common words tell length, not domain.
 LIFT = 4.0
+#: Training rows below which a domain's feature rates are those of a few texts: it is then told of no document.
+LEAST_ROWS = 10
 STEPS, HALVINGS, TOLERANCE = 40, 6, 1e-5
+#: The log posterior of a domain that cannot be told: exp() of it is 0 at every temperature.
+NEVER = -1e9
 #: Temperatures that the log posteriors may be divided by.
 TEMPERATURES = [1, 1.5, 2, 3, 4, 6, 8, 12, 16, 24]
 
@@ -100,7 +104,9 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], per_domain:
 
     The prior is the share of a domain among all labels. Features are those whose presence differs most
     between a domain and the rest, by chi-square, among those LIFT times likelier in some domain. Every third row
-    (by hash) trains nothing and chooses the temperature. Without labels the posterior is even.
+    (by hash) trains nothing and chooses the temperature. A domain with fewer than LEAST_ROWS training rows, where another
+    has that many, has a posterior of 0 everywhere, so its target is missed and the residual says by how much. Without
+    labels the posterior is even.
     """
     once = labelled.where(F.col("domain").isin(domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     totals = {r["domain"]: r["n"] for r in once.groupBy("domain").agg(F.count("*").alias("n")).collect()}
@@ -114,7 +120,8 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], per_domain:
     sampled = stored(with_terms(rows).select("domain", "_words", "_shape", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0).alias("held")), "mixing-sample")
     marked = sampled.where("not held").select("domain", F.array_distinct(terms()).alias("terms"))
     sizes = {r["domain"]: r["n"] for r in marked.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    m = [sizes.get(d, 0) for d in domains]
+    told = {d: n for d, n in sizes.items() if n >= LEAST_ROWS} or sizes
+    marked, m = marked.where(F.col("domain").isin(list(told))), [told.get(d, 0) for d in domains]
     if not sum(m):
         return Classifier(domains, prior)
     seen = marked.select("domain", F.explode("terms").alias("term")).where("term <> ''").groupBy("term").agg(*[F.sum((F.col("domain") == d).cast("double")).alias(f"c{i}") for i, d in enumerate(domains)])
@@ -127,9 +134,9 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], per_domain:
         chi.append(whole * (a * d - b * c) ** 2 / F.greatest((a + b) * (c + d) * (a + c) * (b + d), F.lit(1e-9)))
     best = seen.where((df >= 10) & (F.greatest(*lift, F.lit(0.0)) >= LIFT)).withColumn("chi", F.greatest(*chi) if len(chi) > 1 else chi[0]).orderBy(F.desc("chi"), "term").limit(features).collect()
     share = [[(r[f"c{i}"] + 0.1) / (m[i] + 0.2) for r in best] for i in range(len(domains))]
-    base = [q + sum(math.log(1 - s) for s in own) for q, own in zip(prior, share, strict=True)]
-    model = Classifier(domains, base, [r["term"] for r in best], [[math.log(s / (1 - s)) for s in own] for own in share])
-    return calibrate(model, sampled.where("held"), totals)
+    base = [q + sum(math.log(1 - s) for s in own) if n else NEVER for q, own, n in zip(prior, share, m, strict=True)]
+    model = Classifier(domains, base, [r["term"] for r in best], [[math.log(s / (1 - s)) if n else 0.0 for s in own] for own, n in zip(share, m, strict=True)])
+    return calibrate(model, sampled.where("held").where(F.col("domain").isin(list(told))), totals)
 
 
 def calibrate(model: Classifier, held: DataFrame, totals: dict[str, int]) -> Classifier:
