@@ -686,3 +686,14 @@ def test_pipeline_stages(spark, tmp_path):
         assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
         got = stage(spark, odd, str(tmp_path))
         assert got.columns == (odd.columns if name != cp.STAGES[-1][0] else got.columns) and got.count() > 0, name
+
+
+def test_tied_joins_only_what_new_links_tie(spark):
+    none = spark.createDataFrame([], "node long, component long")
+    pairs = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    first, some = minhash.tied(none, pairs([(1, 2), (3, 4), (4, 5)]))
+    assert some and {tuple(r) for r in first.collect()} == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 3)}
+    same, some = minhash.tied(first, pairs([(3, 5)]))
+    assert not some and same is first
+    more, some = minhash.tied(first, pairs([(5, 2), (7, 6), (4, 0)]))
+    assert some and sorted(tuple(r) for r in more.collect()) == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (5, 0), (6, 6), (7, 6)]
