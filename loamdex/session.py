@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,12 +28,14 @@ def local_session(cores: str = "8", app: str = "loamdex", **conf: str) -> SparkS
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, as a URI.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (a test
-    session on one machine) a temporary folder is used instead.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset on a local master (a test
+    session on one machine) a temporary folder is used instead; on a cluster that is an error.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='loamdex-')}"
         sc.setCheckpointDir(base)
     elif not sc.getCheckpointDir():
@@ -55,7 +58,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a table into the shared folder and read it back: a cut of lineage that Parquet can prune."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that stored() wrote, once nothing reads them any more."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
