@@ -96,7 +96,7 @@ def norm_name(name: str | Column) -> Column:
 
 def norm_type(kind: str | Column) -> Column:
     """A canonical entity type; unknown ones are "other", missing ones "concept"."""
-    known = {w: t for t, words in S.TYPE_SYNONYMS.items() for w in words.split()} | {t: t for t in S.CANON_TYPES}
+    known = S.TYPE_SYNONYMS | {t: t for t in S.CANON_TYPES}
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     k = F.lower(F.btrim(F.coalesce(F.nullif(col(kind), F.lit("")), F.lit("concept"))))
     return F.coalesce(F.try_element_at(table, k), F.lit("other"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def placed(run: DataFrame) -> DataFrame:
@@ -104,3 +104,101 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p") -> DataFrame:
     m = F.count("*").over(every)
     raw = tests.withColumn("_raw", F.col(p) * m / rank).withColumn("_rank", rank)
     return raw.withColumn("p_bh", F.least(F.lit(1.0), F.min("_raw").over(every.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)))).drop("_raw", "_rank")
+
+
+# --- selection and test sets -----------------------------------------------------------------------
+def drawn(*counter: Column) -> Column:
+    """A whole number below 2^32 drawn for a counter: the first half of 64 bits of its md5, the same wherever it is worked out."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *counter)), 1, 8), 16, 10).cast("long")
+
+
+def splits(queries: DataFrame, seeds: int = 20) -> DataFrame:
+    """seed, qid, in_a: each seed's own order of the queries, every other one for selection, the rest for the test."""
+    each = queries.select("qid").distinct().select("qid", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed"))
+    order = Window.partitionBy("seed").orderBy(drawn(F.col("seed"), F.col("qid")), "qid")
+    return each.select("seed", "qid", (F.row_number().over(order) % 2 == 1).alias("in_a"))
+
+
+def protocol(per_query: DataFrame, baseline: int, seeds: int = 20) -> DataFrame:
+    """seed, best, n, delta, p of scores per query (gid, qid, value): weights are picked on the selection set alone and tested once.
+
+    Of equal weights the smaller gid is picked. ``delta`` is the test set's mean gain over the baseline, ``p`` of Wilcoxon's test.
+    """
+    set_of = splits(per_query, seeds)
+    judged = per_query.join(set_of, "qid")
+    means = judged.where("in_a").groupBy("seed", "gid").agg(F.round(F.avg("value"), 9).alias("mean"))
+    best = means.groupBy("seed").agg(F.max_by("gid", F.struct("mean", -F.col("gid"))).alias("best"))
+    test = judged.where("not in_a").join(best, "seed")
+    pairs = test.where((F.col("gid") == F.col("best")) | (F.col("gid") == baseline)).groupBy("seed", "best", "qid").agg(
+        F.max(F.when(F.col("gid") == F.col("best"), F.col("value"))).alias("a"), F.max(F.when(F.col("gid") == baseline, F.col("value"))).alias("b"),
+    )
+
+    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf["a"].to_numpy(float), pdf["b"].to_numpy(float)
+        return pd.DataFrame([(*key, len(a), float((a - b).mean()), signed_rank(a, b)[1])], columns="seed best n delta p".split())
+
+    return pairs.groupBy("seed", "best").applyInPandas(one, f"seed int, best {per_query.schema['gid'].dataType.simpleString()}, n long, delta double, p double")
+
+
+def verdict(tests: DataFrame, level: float = 0.05) -> DataFrame:
+    """One row on protocol(): seeds, median, low, high of the gains, how many seeds gain, and gain significantly."""
+    gain = F.col("delta") > 0
+    return tests.agg(
+        F.count("*").alias("seeds"), F.expr("percentile(delta, 0.5)").alias("median"), F.min("delta").alias("low"), F.max("delta").alias("high"), F.count_if(gain).alias("gains"), F.count_if(gain & (F.col("p") < level)).alias("significant"),
+    )
+
+
+def bootstrap(differences: DataFrame, resamples: int = 1000) -> DataFrame:
+    """comparison, n, delta, low, high: 95 % interval of the mean of paired differences (comparison, qid, d).
+
+    Every draw is a row, and its number comes from (comparison, resample, place): draws are dealt over all tasks, and a
+    task that is run again draws the same.
+    """
+    place = F.row_number().over(Window.partitionBy("comparison").orderBy("qid")) - 1
+    items = differences.select("comparison", place.alias("place"), "d")
+    sizes = items.groupBy("comparison").agg(F.count("*").alias("n"), F.avg("d").alias("delta"))
+    draws = items.select("comparison", F.col("place").alias("j")).join(sizes, "comparison").select("comparison", "n", "j", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
+    picked = draws.select("comparison", "r", (drawn(F.col("comparison"), F.col("r"), F.col("j")) % F.col("n")).alias("place"))
+    means = picked.join(items, ["comparison", "place"]).groupBy("comparison", "r").agg(F.avg("d").alias("mean"))
+    ends = means.groupBy("comparison").agg(F.expr("percentile(mean, array(0.025, 0.975))").alias("e"))
+    return sizes.join(ends, "comparison").select("comparison", "n", "delta", F.get("e", F.lit(0)).alias("low"), F.get("e", F.lit(1)).alias("high"))
+
+
+def ceiling(per_query: DataFrame, picked: DataFrame) -> DataFrame:
+    """strategy, n, mean: each mode always, the mode that a rule picks (qid, mode), and the best mode of every query, which no rule can beat."""
+    fixed = per_query.groupBy(F.concat(F.lit("always "), "mode").alias("strategy")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    auto = per_query.join(picked, ["qid", "mode"]).agg(F.lit("auto").alias("strategy"), F.count("*").alias("n"), F.avg("value").alias("mean"))
+    best = per_query.groupBy("qid").agg(F.max("value").alias("value")).agg(F.lit("ceiling").alias("strategy"), F.count("*").alias("n"), F.avg("value").alias("mean"))
+    return fixed.unionByName(auto).unionByName(best)
+
+
+# --- two builds of a graph -------------------------------------------------------------------------
+def frequency_floors(docs_of: DataFrame, quantiles: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 0.9)) -> list[int]:
+    """Distinct least document counts of the strata at quantiles of the items' counts (item, doc)."""
+    n = docs_of.distinct().groupBy("item").agg(F.count("*").alias("n"))
+    at = n.agg(F.expr(f"percentile(n, array({', '.join(map(str, quantiles))}))").alias("q")).first()["q"]
+    return sorted({int(np.ceil(x)) for x in at}) if at else []
+
+
+def frequency_strata(a: DataFrame, b: DataFrame, floors: tuple[int, ...] | list[int] = (1, 2, 3, 5)) -> DataFrame:
+    """floor, n_a, n_b, both, jaccard of the items that at least ``floor`` documents name, in two builds (item, doc)."""
+    n = lambda df, c: df.distinct().groupBy("item").agg(F.count("*").alias(c))
+    each = n(a, "a").join(n(b, "b"), "item", "full").fillna(0).select("a", "b", F.explode(F.array(*[F.lit(f) for f in floors])).alias("floor"))
+    in_a, in_b = F.col("a") >= F.col("floor"), F.col("b") >= F.col("floor")
+    counts = each.groupBy("floor").agg(F.count_if(in_a).alias("n_a"), F.count_if(in_b).alias("n_b"), F.count_if(in_a & in_b).alias("both"), F.count_if(in_a | in_b).alias("_any"))
+    return counts.select("floor", "n_a", "n_b", "both", F.try_divide(F.col("both"), F.col("_any")).alias("jaccard"))
+
+
+def edge_loss(a: DataFrame, b: DataFrame, items_a: DataFrame, items_b: DataFrame, floors: tuple[int, ...] | list[int] = (1, 2, 3, 5)) -> DataFrame:
+    """floor, edges, lost, alive, lost_alive: edges (src, dst, either way) of a that b lacks, and of those whose ends both builds have.
+
+    An edge stands in every stratum up to the lower document count of its ends in a.
+    """
+    way = lambda df: df.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src is not null and dst is not null").distinct()
+    n = items_a.distinct().groupBy("item").agg(F.count("*").alias("n")).join(items_b.select("item", F.lit(1).alias("there")).distinct(), "item", "left")
+    end = lambda c: n.select(F.col("item").alias(c), F.col("n").alias(f"n_{c}"), F.col("there").alias(f"there_{c}"))
+    edges = way(a).join(way(b).withColumn("kept", F.lit(1)), ["src", "dst"], "left").join(end("src"), "src", "left").join(end("dst"), "dst", "left")
+    low = F.least(F.coalesce("n_src", F.lit(0)), F.coalesce("n_dst", F.lit(0)))
+    each = edges.withColumns({"low": low, "floor": F.explode(F.array(*[F.lit(f) for f in floors]))}).where("low >= floor")
+    lost, alive = F.col("kept").isNull(), F.col("there_src").isNotNull() & F.col("there_dst").isNotNull()
+    return each.groupBy("floor").agg(F.count("*").alias("edges"), F.count_if(lost).alias("lost"), F.count_if(alive).alias("alive"), F.count_if(lost & alive).alias("lost_alive"))

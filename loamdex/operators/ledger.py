@@ -11,6 +11,11 @@ def latest(rows: DataFrame, keys: list[str], rank: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*rank)).alias("_r")).select(*keys, "_r.*")
 
 
+def numbered(rows: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """Adds a place from 0 in an order within a key."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
+
+
 def merged_revisions(rows: DataFrame, keys: list[str], order: str = "ord", rev: str = "rev") -> DataFrame:
     """Adds revision = max(rev, previous revision + 1) in order: the closed form of the fold, i + max(rev_j - j)."""
     w = Window.partitionBy(*keys).orderBy(order)

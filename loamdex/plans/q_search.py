@@ -9,6 +9,7 @@ from loamdex.functions import text as X
 from loamdex.operators import evaluation as ev, index, lookup, search
 from loamdex.plans import views as V
 from loamdex.plans.registry import query
+from loamdex.sources import published
 
 ASKED = "thation with there"
 
@@ -47,8 +48,26 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 @query("bm25_top20", f"WITH {V.DOCS}, {bm25_cte()} SELECT best.doc_id, round(score, 6) AS score, title, path FROM best JOIN docs USING (doc_id) ORDER BY round(best.score, 9) DESC, best.doc_id LIMIT 20")
 def bm25_top20(spark, sf):
-    hits = search.top(search.best_per_doc(search.bm25(chunks(spark, sf), ASKED)), S.ANSWERS)
-    return rounded(search.with_metadata(hits, V.plain_docs(spark, sf)), "score")
+    held = V.search_index(spark, sf)
+    hits = search.top(search.best_per_doc(published.bm25(held, ASKED)), S.ANSWERS)
+    return rounded(search.with_metadata(hits, held.table("documents")), "score")
+
+
+@query("bm25_scan", f"WITH {bm25_cte()} SELECT doc_id, round(score, 6) AS score FROM best")
+def bm25_scan(spark, sf):
+    """Without an index: the texts are read."""
+    return rounded(search.best_per_doc(search.bm25(chunks(spark, sf), ASKED)), "score")
+
+
+@query("index_tables", f"""WITH {CHUNKED}, {GRAMS}, t AS (SELECT term, chunk_id, count(*) AS tf, min(pos) AS first, max(pos) AS last FROM grams GROUP BY 1, 2)
+    SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf, CAST(sum(first) AS BIGINT) AS firsts, CAST(sum(last) AS BIGINT) AS lasts, max(chunk_id) AS last_chunk, round(ln(((SELECT count(*) FROM chunks) - count(*) + 0.5) / (count(*) + 0.5) + 1), 6) AS idf FROM t GROUP BY 1""")
+def index_tables(spark, sf):
+    """All terms of the published index, from its postings and term table."""
+    held = V.search_index(spark, sf)
+    sums = held.table("ix_postings").groupBy("term").agg(
+        F.sum("tf").alias("tf"), F.sum(F.element_at("positions", 1)).alias("firsts"), F.sum(F.element_at("positions", -1)).alias("lasts"), F.max("chunk_id").alias("last_chunk"),
+    )
+    return rounded(sums.join(held.table("ix_terms").select("term", "df", "idf"), "term"), "idf")
 
 
 def _variant(name: str, **kw) -> None:
@@ -56,7 +75,7 @@ def _variant(name: str, **kw) -> None:
 
     @query(name, f"WITH {bm25_cte(**sql)} SELECT doc_id, round(score, 6) AS score FROM best ORDER BY round(best.score, 9) DESC, doc_id LIMIT 50")
     def run(spark, sf):
-        return rounded(search.top(search.best_per_doc(search.bm25(chunks(spark, sf), ASKED, **kw)), 50), "score")
+        return rounded(search.top(search.best_per_doc(published.bm25(V.search_index(spark, sf), ASKED, **kw)), 50), "score")
 
 
 _variant("bm25_nolen", b=0.0)
@@ -225,14 +244,15 @@ def search_origin_filtered(spark, sf):
 def search_hybrid(spark, sf):
     q, vectors = V.query_vector(spark, sf), V.table(spark, sf, "embeddings").withColumnRenamed("embedding", "vector")
     near = search.vector_top(vectors, q, S.DEPTHS["chunk"], "vec_id").select(F.floor(F.col("vec_id") / 4).alias("doc_id"), (1 - F.col("dist") / 2).alias("score"))
-    words = search.top(search.bm25(chunks(spark, sf), ASKED), S.DEPTHS["bm25"], tie="chunk_id")
+    held = V.search_index(spark, sf)
+    words = search.top(published.bm25(held, ASKED), S.DEPTHS["bm25"], tie="chunk_id")
     parts = {"bm25": search.best_per_doc(words), "chunk": search.best_per_doc(near), "entity": search.entity_component(entity_hits(spark, sf)), "relation": search.relation_component(relation_hits(spark, sf), V.entities(spark, sf))}
-    return rounded(search.search(parts, V.docs(spark, sf)), "score")
+    return rounded(search.search(parts, V.indexed_docs(spark, sf, held)), "score")
 
 
-@query("snippets_top2", f"WITH c AS (SELECT vec_id AS chunk_id, CAST(floor(vec_id / 4.0) AS BIGINT) AS doc_id, concat('chunk ', vec_id) AS text, list_inner_product(embedding::DOUBLE[], {V.QUERY_VECTOR}) AS d FROM embeddings WHERE vec_id < 400) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY d DESC, chunk_id) AS INTEGER) AS place, chunk_id, substr(text, 1, 340) AS snippet FROM c QUALIFY place <= 2")
+@query("snippets_top2", f"WITH c AS (SELECT vec_id AS chunk_id, CAST(floor(vec_id / 4.0) AS BIGINT) AS doc_id, concat('chunk ', vec_id) AS text, list_inner_product(embedding::DOUBLE[], {V.QUERY_VECTOR}) AS d FROM embeddings) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY d DESC, chunk_id) AS INTEGER) AS place, chunk_id, substr(text, 1, 340) AS snippet FROM c QUALIFY place <= 2")
 def snippets_top2(spark, sf):
-    c = V.table(spark, sf, "embeddings").where("vec_id < 400").selectExpr("vec_id AS chunk_id", "CAST(floor(vec_id / 4.0) AS BIGINT) AS doc_id", "concat('chunk ', vec_id) AS text", "embedding AS vector")
+    c = V.table(spark, sf, "embeddings").selectExpr("vec_id AS chunk_id", "CAST(floor(vec_id / 4.0) AS BIGINT) AS doc_id", "concat('chunk ', vec_id) AS text", "embedding AS vector")
     return search.snippets(c, c.select("doc_id"), V.query_vector(spark, sf))
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loamdex import schema as S
+from loamdex.session import shared_dir
+from loamdex.sources import published
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +32,18 @@ def plain_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr(*_DOC, "date_format(date_add(DATE '2024-01-01', CAST(doc_id % 365 AS INT)), 'yyyy-MM-dd') AS doc_date")
 
 
+def search_index(spark: SparkSession, sf_dir: str) -> published.Index:
+    """The published index of the documents, made on first use and again when their files change."""
+    root = f"{shared_dir(spark).rstrip('/')}/index-{zlib.crc32(sf_dir.encode()):08x}"
+    return published.current(spark, f"{sf_dir}/documents.parquet", plain_docs(spark, sf_dir), root)
+
+
+def indexed_docs(spark: SparkSession, sf_dir: str, held: published.Index) -> DataFrame:
+    """docs() from the index: no text is read."""
+    blocked = toxic(spark, sf_dir).withColumn("no_llm", F.lit(True))
+    return held.table("documents").join(blocked, "doc_id", "left").withColumn("no_llm", F.coalesce("no_llm", F.lit(False)))
+
+
 TOXIC = "blocked AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1)"
 
 

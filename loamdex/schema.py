@@ -26,17 +26,58 @@ PRESETS = {
 }
 ORIGINS = ("vault", "session", "slack", "notion", "gdrive", "web")
 CANON_TYPES = ("artifact", "tool", "project", "method", "failure", "decision", "metric", "event", "actor", "concept")
+# They decide an entity's type.
 TYPE_SYNONYMS = {
-    "artifact": "file path config schema format field",
-    "tool": "system application platform framework infrastructure hardware library service",
-    "project": "repository product codebase",
-    "method": "pattern process practice technique plan algorithm workflow",
-    "failure": "error bug issue incident",
-    "decision": "choice tradeoff rationale",
-    "metric": "measurement benchmark statistic",
-    "event": "activity milestone",
-    "actor": "person organization group team company role",
-    "concept": "goal feature capability domain context topic principle reference",
+    "file": "artifact",
+    "path": "artifact",
+    "config": "artifact",
+    "schema": "artifact",
+    "format": "artifact",
+    "field": "artifact",
+    "system": "tool",
+    "application": "tool",
+    "platform": "tool",
+    "framework": "tool",
+    "infrastructure": "tool",
+    "hardware": "tool",
+    "library": "tool",
+    "service": "tool",
+    "repository": "project",
+    "product": "project",
+    "codebase": "project",
+    "pattern": "method",
+    "process": "method",
+    "practice": "method",
+    "technique": "method",
+    "plan": "method",
+    "algorithm": "method",
+    "workflow": "method",
+    "error": "failure",
+    "bug": "failure",
+    "issue": "failure",
+    "incident": "failure",
+    "choice": "decision",
+    "tradeoff": "decision",
+    "rationale": "decision",
+    "measurement": "metric",
+    "benchmark": "metric",
+    "statistic": "metric",
+    "activity": "event",
+    "milestone": "event",
+    "person": "actor",
+    "organization": "actor",
+    "group": "actor",
+    "team": "actor",
+    "company": "actor",
+    "role": "actor",
+    "goal": "concept",
+    "feature": "concept",
+    "capability": "concept",
+    "domain": "concept",
+    "context": "concept",
+    "topic": "concept",
+    "principle": "concept",
+    "reference": "concept",
 }
 
 EVENT = T.StructType([T.StructField(n, t) for n, t in (("at", T.StringType()), ("doc_id", T.IntegerType()), ("rev", T.StringType()), ("at_exact", T.BooleanType()), ("text", T.StringType()))])
