@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import warnings
 
-from loamdex.session import stored
+from pyspark.sql import Column, DataFrame, functions as F
+
+from loamdex.session import discard, stored
 
 #: Rows up to which a list of ids is broadcast (about 12 MB); longer lists are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -30,7 +32,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     Rows come from ``labels`` where crc32(doc_id) mod ``modulus`` is not ``held_out``, smallest
     xxhash64(doc_id) first, so the sample is the same on every run. Null ids and labels are left out;
     of repeated labels of a document the largest counts, of several texts of an id the smallest. Each id
-    is one row before anything is collected; texts beyond the bytes are left out whole, none is cut.
+    is one row before anything is collected. A text that does not fit the bytes left for its class is passed over, and
+    the next ones are tried; none is cut. A class of which no text fits is warned of.
     """
     known = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
@@ -44,10 +47,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
         .join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
     )
-    # by rank within the class, so that both classes keep their share of the bytes; 2 * per_class rows at most
-    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    spent = F.sum(F.octet_length("text")).over(Window.partitionBy("y").orderBy("rank"))
-    rows = once.withColumn("rank", rank).withColumn("spent", spent).where(F.col("spent") <= most_bytes // 2).select("doc_id", "text", "y").collect()
+    once = stored(once.withColumn("bytes", F.octet_length("text")), "sample")  # 2 * per_class rows at most
+    order = once.select("doc_id", "y", "bytes", F.xxhash64("doc_id").alias("h")).collect()
+    taken, left = [], {0: most_bytes // 2, 1: most_bytes // 2}  # both classes keep their share of the bytes
+    for r in sorted(order, key=lambda r: (r["h"], r["doc_id"])):
+        if r["bytes"] <= left[r["y"]]:
+            left[r["y"]] -= r["bytes"]
+            taken.append(r["doc_id"])
+    for y in {r["y"] for r in order} - {r["y"] for r in order if r["doc_id"] in set(taken)}:
+        warnings.warn(f"every labelled text of class {y} is longer than {most_bytes // 2} bytes: none is in the sample", stacklevel=2)
+    rows = once.where(F.col("doc_id").isin(taken)).select("doc_id", "text", "y").collect() if taken else []
+    discard(once)
     return [(r.text, r.y) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -124,7 +125,7 @@ def is_member(window: Window, at: int) -> bool:
                 break
     except zlib.error:
         pass
-    return text[:5] == b"WARC/" and b"WARC-Type:" in text
+    return text[:5] == b"WARC/" and b"warc-type:" in text.lower()
 
 
 def inflate(window: Window, at: int) -> tuple[bytes, int]:
@@ -186,17 +187,25 @@ def members(file, start: int, end: int) -> Iterator[tuple[int, bytes | None, str
             return
 
 
-def parse(content: bytes) -> tuple[dict[str, str], bytes]:
-    head, _, rest = content.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in head.decode("utf-8", "replace").split("\r\n")[1:])
-    return {k.lower(): v for k, v in fields.items()}, rest[: int(fields.get("Content-Length", 0))]
+def parse(content: bytes) -> tuple[dict[str, str], bytes, str | None]:
+    """(fields by lower-case name, body, what is wrong) of a record. Of a repeated field the last counts; lines without a colon are passed over."""
+    head, end, rest = content.partition(b"\r\n\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")[1:]
+    fields = {name.strip().lower(): value.strip() for name, colon, value in (line.partition(":") for line in lines) if colon}
+    length = fields.get("content-length", "0")
+    if not (length.isascii() and length.isdigit()) or len(length) > 18:
+        return fields, b"", "the content length is no number"
+    if not end or int(length) > len(rest):
+        return fields, b"", "the record is shorter than its content length"
+    return fields, rest[: int(length)], None
 
 
 RECORD = "path string, place long, record_type string, page_id long, url string, payload_digest string, payload_bytes long, refers_to long, payload binary, error string"
 
 
 def _number(value: str | None) -> int | None:
-    return int(value) if value and value.lstrip("-").isdigit() else None
+    """The number in a field, if it is one that a long holds."""
+    return int(value) if value and re.fullmatch(r"-?[0-9]{1,18}", value) else None
 
 
 def read(spark: SparkSession, manifest: DataFrame, range_bytes: int = 8 << 20) -> DataFrame:
@@ -219,7 +228,9 @@ def read(spark: SparkSession, manifest: DataFrame, range_bytes: int = 8 << 20) -
         def row(path: str, place: int, content: bytes | None, error: str | None) -> tuple:
             if error:
                 return (path, place, *[None] * 7, error)
-            h, body = parse(content)
+            h, body, wrong = parse(content)
+            if wrong:
+                return (path, place, *[None] * 7, wrong)
             kind = h.get("warc-type")
             if kind == "revisit":
                 return (path, place, kind, _number(h.get("x-page-id")), h.get("warc-target-uri"), h.get("warc-payload-digest", "").removeprefix("sha1:"), _number(h.get("x-payload-bytes")), _number(h.get("x-refers-to-page")), None, None)

@@ -198,3 +198,36 @@ def test_line_dedup_query_against_plain(spark):
 def test_trie_query_against_plain(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert sorted(map(tuple, queries.op13_prefix_trie(spark, SF).collect()), key=repr) == plain_trie(rows)
+
+
+# --- faults of earlier operators -----------------------------------------------------------------------
+def test_sample_passes_over_long_texts_alone(spark):
+    from loamdex.llm import common
+
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.when(F.col("id").isin(4, 5, 6, 7), F.repeat(F.lit("x"), 3_000_000)).otherwise(F.col("id").cast("string")).alias("text"))
+    labels = spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic"))
+    got = common.labelled_sample(docs, labels, "toxic", 100, 4, 2, most_bytes=2_000_000)
+    wanted = {str(i) for i in range(40) if i not in (4, 5, 6, 7) and zlib.crc32(str(i).encode()) % 4 != 2}
+    assert {t for t, _ in got} == wanted and {y for _, y in got} == {0, 1}
+    with pytest.warns(UserWarning, match="class 0"):
+        assert common.labelled_sample(docs.where("doc_id in (4, 6, 8) or doc_id % 2 = 1"), labels.where("doc_id in (4, 6) or doc_id % 2 = 1"), "toxic", 100, 4, 2, most_bytes=2_000_000)
+
+
+def test_any_header_gives_a_record_or_an_error(spark, tmp_path):
+    import gzip
+
+    from loamdex.llm import warc
+
+    rng = np.random.default_rng(6)
+    values = ["", "x", "-3", "3", "99999999999999999999", "１", "3 ", "4", "2", "+3", "0x3", "\udcff"]
+    names = ["Content-Length", "content-length", "CONTENT-LENGTH ", "X-Page-Id", "WARC-Type", "no colon", "X-Payload-Bytes", "WARC-Payload-Digest"]
+    data, n = b"", 300
+    for _ in range(n):
+        head = ["WARC/1.1", str(rng.choice(["WARC-Type: response", "warc-type: revisit", "Warc-Type:x"])), *(f"{rng.choice(names)}:{rng.choice(values)}" for _ in range(rng.integers(0, 5)))]
+        data += gzip.compress("\r\n".join(head).encode("utf-8", "surrogateescape") + (b"\r\n\r\nabc\r\n\r\n" if rng.random() < 0.9 else b""))
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    manifest = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz", len(data), n)], "path string, bytes long, records long")
+    assert warc.read(spark, manifest, 1000).count() == n
+    fields, body, wrong = warc.parse(b"WARC/1.1\r\ncontent-LENGTH:3\r\n\r\nabc\r\n\r\n")
+    assert body == b"abc" and wrong is None
+    assert [warc.parse(b"WARC/1.1\r\nContent-Length: " + v + b"\r\n\r\nabc")[2] is None for v in (b"3", b"4", b"-1", b"x", b"")] == [True, False, False, False, False]
