@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loamdex import schema as S
-from loamdex.session import settled
+from loamdex.session import discard, settled, stored
 
 
 def doubled(edges: DataFrame) -> DataFrame:
@@ -44,26 +44,34 @@ def within(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
 def shortest_path(edges: DataFrame, start, end) -> list:
     """Node ids of a shortest path, the first by node order among equals; [start] for the same node, [] if there is none.
 
-    Breadth first: each step keeps, for a newly reached node, the smallest parent of the front; only the end's
-    presence and, at the end, the path itself come to the driver. The search ends when nothing new is reached.
+    Breadth first: each step keeps, for a newly reached node, the smallest parent of the front, as a table of its own, and
+    whether the end is among them comes to the driver. The path is then walked back by one chain of joins over the
+    steps, a row each. The search ends when nothing new is reached.
     """
     if start == end:
         return [start]
-    both = settled(doubled(edges).distinct())
-    spark = edges.sparkSession
-    front = spark.range(1).select(F.lit(start).alias("id"), F.lit(None).cast(both.schema["src"].dataType).alias("parent"), F.lit(0).alias("step"))
-    seen = front
-    for step in itertools.count(1):
-        reached = front.select(F.col("id").alias("src")).join(both, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent")).withColumn("step", F.lit(step))
-        front = settled(reached.join(seen.select("id"), "id", "left_anti"))
-        if front.isEmpty():
+    kind = edges.schema["src"].dataType
+    both = stored(doubled(edges).distinct(), "path-edges")
+    first = edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("id"), F.lit(None).cast(kind).alias("parent"))
+    fronts = [stored(first, "path-front")]
+    found = False
+    while not found:
+        reached = fronts[-1].select(F.col("id").alias("src")).join(both, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+        for seen in fronts[-2:]:  # an undirected step leads to the front before, the same front, or on
+            reached = reached.join(seen.select("id"), "id", "left_anti")
+        fronts.append(stored(reached, "path-front"))
+        state = fronts[-1].agg(F.count("*").alias("n"), F.bool_or(F.col("id") == F.lit(end)).alias("found")).first()
+        if not state["n"]:
+            discard(both, *fronts)
             return []
-        seen = settled(seen.unionByName(front.select("id", "parent", "step")))
-        if not front.where(F.col("id") == F.lit(end)).isEmpty():
-            path = [end]
-            while path[-1] != start:
-                path.append(seen.where(F.col("id") == F.lit(path[-1])).first()["parent"])
-            return path[::-1]
+        found = state["found"]
+    path = fronts[-1].where(F.col("id") == F.lit(end)).select(F.array("id", "parent").alias("path"), F.col("parent").alias("at"))
+    for front in reversed(fronts[1:-1]):
+        up = front.select(F.col("id").alias("at"), "parent")
+        path = up.join(F.broadcast(path), "at").select(F.concat("path", F.array("parent")).alias("path"), F.col("parent").alias("at"))  # path is one row
+    out = path.first()["path"][::-1]
+    discard(both, *fronts)
+    return out
 
 
 def closed(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -148,49 +156,56 @@ def communities(edges: DataFrame, least_gain: float = 1e-6) -> DataFrame:
     Each round every node sees the gain in modularity of joining each neighbouring community, and half of those that
     would gain move (the half changes by hash, so that two nodes do not swap for ever). Rounds go on while modularity
     rises by ``least_gain``; then communities become the nodes of the next level, until a level merges nothing. A round
-    shuffles edges twice and is written to the shared folder; only its modularity comes to the driver. A community is
-    named after its smallest node.
+    shuffles edges twice and is written to the shared folder, from where the round before it is deleted; only its
+    modularity comes to the driver. A community is named after its smallest node.
     """
     both = doubled(edges).where("src is not null and dst is not null")
-    now = settled(both.groupBy("src", "dst").agg(F.sum(F.lit(1.0)).alias("w")))
-    label = settled(now.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id")))
+    now = stored(both.groupBy("src", "dst").agg(F.sum(F.lit(1.0)).alias("w")), "louvain-edges")
+    label = stored(now.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id")), "louvain-label")
     whole = now.agg(F.sum("w")).first()[0]
     while whole:
-        mass = settled(now.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")))
-        found = _moves(now, mass, whole, least_gain)
-        names = found.groupBy("community").agg(F.min("id").alias("name"))
-        found = settled(found.join(names, "community").select("id", F.col("name").alias("community")))
-        merged = found.select("community").distinct().count() < found.count()
-        label = settled(label.join(found.select(F.col("id").alias("community"), F.col("community").alias("_to")), "community").select("id", F.col("_to").alias("community")))
-        if not merged:
+        mass = now.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k"))
+        moved = _moves(now, mass, whole, least_gain)
+        names = moved.groupBy("community").agg(F.min("id").alias("name"))
+        found = stored(moved.join(names, "community").select("id", F.col("name").alias("community")), "louvain-found")
+        size = found.agg(F.count("*").alias("n"), F.countDistinct("community").alias("left")).first()
+        before, label = label, stored(label.join(found.select(F.col("id").alias("community"), F.col("community").alias("_to")), "community").select("id", F.col("_to").alias("community")), "louvain-label")
+        discard(before, moved)
+        if size["left"] == size["n"]:
+            discard(now, found)
             break
         ends = now.join(found.select(F.col("id").alias("src"), F.col("community").alias("a")), "src").join(found.select(F.col("id").alias("dst"), F.col("community").alias("b")), "dst")
-        now = settled(ends.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
+        before, now = now, stored(ends.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")), "louvain-edges")
+        discard(before, found)
     return label
 
 
 def _moves(now: DataFrame, mass: DataFrame, whole: float, least_gain: float) -> DataFrame:
     """id, community after the local moves of one level. now: src, dst, w in both directions; mass: id, k."""
-    own = settled(mass.select("id", "k", F.col("id").alias("community")))
+    own = stored(mass.select("id", "k", F.col("id").alias("community")), "louvain-own")
     best, kept, quiet = None, own, 0
     for turn in itertools.count():
         tot = own.groupBy("community").agg(F.sum("k").alias("t"))
         near = now.join(own.select(F.col("id").alias("dst"), F.col("community").alias("c")), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.sum("w").alias("w"), F.sum(F.when(F.col("src") == F.col("dst"), F.col("w")).otherwise(0.0)).alias("loop"))
         mine = own.join(tot.withColumnRenamed("t", "own_t"), "community")
-        seen = settled(near.join(tot.select(F.col("community").alias("c"), "t"), "c").join(mine, "id"))
+        seen = stored(near.join(tot.select(F.col("community").alias("c"), "t"), "c").join(mine, "id"), "louvain-seen")
         stay = F.col("c") == F.col("community")
         score = (seen.agg(F.sum(F.when(stay, F.col("w") / whole))).first()[0] or 0.0) - (tot.agg(F.sum((F.col("t") / whole) ** 2)).first()[0] or 0.0)
         if best is None or score > best + least_gain:
+            if kept is not own:
+                discard(kept)
             best, kept, quiet = score, own, 0
         else:
             quiet += 1
             if quiet == 2:  # either half had its turn
-                return kept.select("id", "community")
+                discard(own, seen)
+                return kept
         gain = F.col("w") - F.when(stay, F.col("loop")).otherwise(0.0) - F.col("k") * (F.col("t") - F.when(stay, F.col("k")).otherwise(0.0)) / whole
         choice = seen.withColumn("g", gain).groupBy("id", "k", "community", "own_t").agg(F.max(F.when(stay, F.col("g"))).alias("g0"), F.max("g").alias("g1"), F.min_by("c", F.struct((-F.col("g")).alias("g"), "c")).alias("to"))
         staying = F.coalesce("g0", -F.col("k") * (F.col("own_t") - F.col("k")) / whole)
         turns = F.pmod(F.xxhash64("id", F.lit(turn // 2)), F.lit(2)) == turn % 2
-        own = settled(choice.select("id", "k", F.when((F.col("g1") > staying + 1e-12) & turns, F.col("to")).otherwise(F.col("community")).alias("community")))
+        before, own = own, stored(choice.select("id", "k", F.when((F.col("g1") > staying + 1e-12) & turns, F.col("to")).otherwise(F.col("community")).alias("community")), "louvain-own")
+        discard(*([seen] if before is kept else [seen, before]))
 
 
 def ranked_communities(members: DataFrame, least: int = S.MIN_COMMUNITY, top: int = S.TOP_COMMUNITIES) -> DataFrame:

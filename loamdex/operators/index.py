@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from loamdex import schema as S
 from loamdex.functions import text as X
-from loamdex.session import spread
+from loamdex.session import spread, stored
 
 
 def chunk_table(docs: DataFrame, size: int = S.CHUNK_SIZE, overlap: int = S.CHUNK_OVERLAP, keep_blank: bool = False) -> DataFrame:
@@ -39,20 +39,24 @@ def truncated(table: DataFrame, most: int = 32) -> DataFrame:
 def terms(table: DataFrame, chunks: int) -> DataFrame:
     """term_id (rank of the term), term, df, idf from postings.
 
-    Distinct terms are ranked by ranges: a global order is cut into ranges, counted, and numbered within each.
+    Distinct terms are ranked by ranges: a global order is cut into ranges, counted, and numbered within each. Ids are int, as the table's.
     """
     df = table.groupBy("term").agg(F.count("*").cast("int").alias("df"))
     idf = F.log((F.lit(float(chunks)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    return dense_ids(df, "term", "term_id").withColumn("idf", idf)
+    return dense_ids(df, "term", "term_id").withColumns({"term_id": F.col("term_id").cast("int"), "idf": idf})
 
 
 def dense_ids(df: DataFrame, key: str, name: str) -> DataFrame:
-    """A dense id from 0 in key order, without one task for all rows: ids within a leading letter, plus the rows before it."""
-    lead = F.substring(F.col(key).cast("string"), 1, 2)
-    counts = df.groupBy(lead.alias("_lead")).count()
-    before = counts.select("_lead", (F.sum("count").over(Window.orderBy("_lead")) - F.col("count")).alias("_before"))  # a row per two letters
-    local = F.row_number().over(Window.partitionBy("_lead").orderBy(key)) - 1
-    return df.withColumn("_lead", lead).join(before, "_lead").withColumn(name, (F.col("_before") + local).cast("int")).drop("_lead", "_before")
+    """A dense id (long) from 0 in key order: rows are dealt by ranges of the key and sorted, and an id is the row's place in its range after the ranges before.
+
+    The ranges are found by sampling, so no lead that many keys share makes one of them large. Null keys come first.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, key).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id())
+    rows = stored(dealt, "dense-ids").withColumn("_piece", F.shiftright("_at", 33))  # the partition stands in the upper bits
+    pieces = rows.groupBy("_piece").agg(F.min("_at").alias("_low"), F.count("*").alias("_n"))  # a row a partition
+    before = pieces.select("_piece", "_low", (F.sum("_n").over(Window.orderBy("_piece")) - F.col("_n")).alias("_before"))
+    return rows.join(F.broadcast(before), "_piece").withColumn(name, F.col("_at") - F.col("_low") + F.col("_before")).drop("_piece", "_at", "_low", "_before")
 
 
 def doclen(chunks: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loamdex import schema as S
 from loamdex.functions import links
-from loamdex.operators import distilled, evaluation as ev, folding, search
+from loamdex.operators import distilled, evaluation as ev, folding, migrate, search, view
 from loamdex.plans import views as V
 from loamdex.plans.q_search import GRID, rounded
 from loamdex.plans.registry import query
@@ -226,3 +226,86 @@ def frequency_strata(spark, sf):
 def edge_loss(spark, sf):
     e = V.table(spark, sf, "events").select(F.col("user_id").alias("src"), (F.col("user_id") * 7 % 50).alias("dst"))
     return ev.edge_loss(e, e.where("src % 5 > 0").select(F.col("dst").alias("src"), F.col("src").alias("dst")), *builds(spark, sf))
+
+
+# --- whole views ------------------------------------------------------------------------------------------
+NOTE_VIEW = f"""{V.NOTES}, n AS (SELECT doc_id, path, size, tags FROM notes), raw AS (SELECT doc_id, concat('n', doc_id + 1) AS t, 1 AS n FROM notes UNION ALL SELECT doc_id, concat('n', doc_id * 2), 1 FROM notes),
+    lk AS (SELECT a.path AS src, coalesce(b.path, t) AS dst, sum(n) AS n FROM raw r JOIN n a USING (doc_id) LEFT JOIN n b ON concat('n', b.doc_id) = t GROUP BY 1, 2),
+    ov AS (SELECT a.path AS src, b.path AS dst FROM n a JOIN n b ON b.doc_id = a.doc_id // 3 WHERE a.doc_id % 5 = 0), laid AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM lk UNION ALL SELECT src, dst FROM ov)),
+    f AS (SELECT * FROM n WHERE NOT contains(path, 'src1/')), e0 AS (SELECT src, dst FROM laid WHERE src IN (SELECT path FROM f) AND (dst NOT IN (SELECT path FROM n) OR dst IN (SELECT path FROM f))),
+    tg AS (SELECT DISTINCT path, unnest(tags) AS t FROM f), hub AS (SELECT t FROM tg GROUP BY t ORDER BY count(*) DESC, t LIMIT 4), e1 AS (SELECT * FROM e0 UNION ALL SELECT path, concat('#', t) FROM tg WHERE t IN (FROM hub)),
+    d1 AS (SELECT id, count(*) AS d FROM (SELECT src AS id FROM e1 UNION ALL SELECT dst FROM e1) GROUP BY 1), v1 AS (SELECT id, coalesce(d, 0) AS d FROM (SELECT path AS id FROM f UNION SELECT dst FROM e1) LEFT JOIN d1 USING (id)),
+    v2 AS (SELECT * FROM v1 ORDER BY d DESC, id LIMIT 150), e2 AS (SELECT src, dst, least(a.d, b.d) AS w FROM e1 JOIN v2 a ON a.id = src JOIN v2 b ON b.id = dst), e3 AS (SELECT src, dst FROM e2 ORDER BY w DESC, src, dst LIMIT 120)"""
+
+
+def noted(spark, sf):
+    n = V.table(spark, sf, "documents").selectExpr("doc_id", "concat(source, '/n', doc_id, '.md') AS path", "CAST(n_chars AS BIGINT) AS size", "array(concat('t', doc_id % 5), concat('t', doc_id % 7), lang) AS tags")
+    raw = n.select(F.col("path").alias("src"), F.explode(F.array((F.col("doc_id") + 1), F.col("doc_id") * 2)).alias("k"))
+    to = n.select(F.col("doc_id").alias("k"), F.col("path").alias("there"))
+    links_ = raw.join(to, "k", "left").select("src", F.coalesce("there", F.concat(F.lit("n"), F.col("k").cast("string"))).alias("dst")).groupBy("src", "dst").agg(F.count("*").alias("n"))
+    over = n.where("doc_id % 5 = 0").select(F.col("path").alias("src"), F.floor(F.col("doc_id") / 3).alias("k")).join(to, "k").select("src", F.col("there").alias("dst"), F.lit(1).cast("long").alias("n"))
+    return view.note_view(n, links_, (over,), view.Options(filter="-path:src1/", nodes=150, links=120, tag_hubs=4))
+
+
+@query("note_view_nodes", f"WITH {NOTE_VIEW} SELECT v2.id, (SELECT count(*) FROM e3 WHERE src = v2.id) + (SELECT count(*) FROM e3 WHERE dst = v2.id) AS degree FROM v2")
+def note_view_nodes(spark, sf):
+    """The whole chain: filter, overlay, ghosts, tag hubs, node cap, link cap, recount."""
+    return noted(spark, sf).nodes.select("id", "degree")
+
+
+@query("note_view_edges", f"WITH {NOTE_VIEW} SELECT src, dst FROM e3")
+def note_view_edges(spark, sf):
+    return noted(spark, sf).edges
+
+
+ENTITY_VIEW = f"""{V.ENTITIES}, g AS (SELECT entity_id AS id, degree, CASE WHEN entity_id % 4 = 0 THEN 'Other' ELSE concat('com', entity_id % 4) END AS grp FROM ent WHERE degree >= 2 AND NOT contains(lower(name), '7')),
+    k AS (SELECT * FROM g WHERE grp <> 'com2' ORDER BY degree DESC, id LIMIT 90), l AS (SELECT rel_id AS ord, src_id AS src, tgt_id AS dst FROM rel WHERE src_id <> tgt_id AND src_id IN (SELECT id FROM k) AND tgt_id IN (SELECT id FROM k) ORDER BY 1 LIMIT 50)"""
+
+
+def seen_entities(spark, sf):
+    community = F.when(F.col("entity_id") % 4 > 0, F.concat(F.lit("com"), (F.col("entity_id") % 4).cast("string")))
+    e = V.entities(spark, sf).select(F.col("entity_id").alias("id"), "name", "type", community.alias("community"), "degree")
+    r = V.relations(spark, sf).select(F.col("rel_id").alias("ord"), F.col("src_id").alias("src"), F.col("tgt_id").alias("dst"))
+    return view.entity_view(e, r, "community", view.Options(filter="-7", nodes=90, links=50, least_degree=2, hidden=("com2",)))
+
+
+@query("entity_view_nodes", f"WITH {ENTITY_VIEW} SELECT id, grp AS \"group\", (SELECT count(*) FROM l WHERE src = k.id) AS out_degree, (SELECT count(*) FROM l WHERE dst = k.id) AS in_degree FROM k")
+def entity_view_nodes(spark, sf):
+    return seen_entities(spark, sf).nodes.select("id", "group", "out_degree", "in_degree")
+
+
+@query("entity_view_edges", f"WITH {ENTITY_VIEW} SELECT src, dst FROM l")
+def entity_view_edges(spark, sf):
+    return seen_entities(spark, sf).edges.select("src", "dst")
+
+
+@query("entity_view_legend", f"WITH {ENTITY_VIEW} SELECT grp AS name, count(*) AS n, grp = 'Other' AS last FROM g GROUP BY 1")
+def entity_view_legend(spark, sf):
+    """Hidden groups are counted too."""
+    return view.ordered_legend(seen_entities(spark, sf))
+
+
+# --- migration of frontmatter ------------------------------------------------------------------------------
+FRONT = """concat('---\\ntitle: d', doc_id, CASE doc_id % 4 WHEN 0 THEN '\\nsources: [a, "s3:b", c]' WHEN 1 THEN '\\nsources: ["s1:a"]' WHEN 2 THEN '\\nsources: none' ELSE '' END,
+    CASE WHEN doc_id % 3 = 0 THEN '\\ndistilled_by: model: x' WHEN doc_id % 3 = 1 THEN '\\ndistilled_by: m\\ngenerated_by: me' ELSE '' END, CASE WHEN doc_id % 5 = 0 THEN '\\ncaptured: 2024-01-02' ELSE '' END, '\\n---\\n', text)"""
+FRONT_SQL = FRONT.replace("\\n", "' || chr(10) || '")
+DONE_SQL = """concat('---', chr(10), 'title: d', doc_id, CASE doc_id % 4 WHEN 0 THEN chr(10) || 'sources: ["s4:a", "s3:b", "s5:c"]' WHEN 1 THEN chr(10) || 'sources: ["s1:a"]' WHEN 2 THEN chr(10) || 'sources: none' ELSE '' END,
+    CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'distilled_by: model: x' WHEN doc_id % 3 = 1 THEN chr(10) || 'distilled_by: m' || chr(10) || 'generated_by: me' ELSE '' END, CASE WHEN doc_id % 5 = 0 THEN chr(10) || 'captured: 2024-01-02' ELSE '' END,
+    CASE WHEN doc_id % 5 = 0 THEN chr(10) || 'generated_at: 2024-01-02' ELSE '' END, CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'generated_by: "model: x"' ELSE '' END, chr(10), '---', chr(10), text)"""
+
+
+def fronted(spark, sf):
+    return V.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.expr(FRONT).alias("raw"))
+
+
+@query("frontmatter_plan", """SELECT CAST(doc_id AS VARCHAR) AS path, 'sources numbered' AS change FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'generated_by from distilled_by' FROM documents WHERE doc_id % 3 = 0
+    UNION ALL SELECT CAST(doc_id AS VARCHAR), 'generated_at from captured' FROM documents WHERE doc_id % 5 = 0""")
+def frontmatter_plan(spark, sf):
+    return migrate.plan(fronted(spark, sf)).select("path", "change")
+
+
+@query("frontmatter_migrated", f"SELECT CAST(doc_id AS VARCHAR) AS path, {DONE_SQL} AS raw FROM documents")
+def frontmatter_migrated(spark, sf):
+    """Whole notes, rewritten by the plan; a plan on the result is empty, which a test holds."""
+    notes = fronted(spark, sf)
+    return migrate.apply(notes, migrate.plan(notes))

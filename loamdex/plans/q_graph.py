@@ -60,7 +60,7 @@ RESOLVE = f"WITH {V.ENTITIES} SELECT entity_id, name, 'candidate' AS how FROM en
 query("resolve_name", RESOLVE)(resolve_name)
 
 
-@query("resolve_exact", "SELECT CAST(42 AS BIGINT) AS entity_id, 'Entity 42' AS name, 'exact' AS how")
+@query("resolve_exact", f"WITH {V.ENTITIES} SELECT entity_id, name, 'exact' AS how FROM ent WHERE lower(name) = lower(trim(regexp_replace(regexp_replace('  entity   42 (note)', '\\s*\\([^)]*\\)\\s*$', ''), '\\s+', ' ', 'g')))")
 def resolve_exact(spark, sf):
     return lookup.resolve(V.entities(spark, sf).withColumn("name_norm", X.norm_name("name")), "  entity   42 (note)")
 
@@ -220,6 +220,13 @@ def subgraph_min_degree(spark, sf):
     return graph.subgraph(graph.degrees(e).select("id", "degree"), e, 3, 25)[1].select("src", "dst")
 
 
+@query("subgraph_hubs", f"WITH {V.ENTITIES}, k AS (SELECT entity_id FROM ent WHERE degree >= 3 ORDER BY degree DESC, entity_id LIMIT 60) SELECT src_id AS src, tgt_id AS dst FROM rel WHERE src_id IN (FROM k) AND tgt_id IN (FROM k)")
+def subgraph_hubs(spark, sf):
+    e = V.entities(spark, sf).select(F.col("entity_id").alias("id"), "degree")
+    r = V.relations(spark, sf).select(F.col("src_id").alias("src"), F.col("tgt_id").alias("dst"))
+    return graph.subgraph(e, r, 3, 60)[1].select("src", "dst")
+
+
 @query("node_cap", f"WITH {V.GRAPH} SELECT id, degree FROM gdeg ORDER BY degree DESC, id LIMIT 40")
 def node_cap(spark, sf):
     e = V.graph(spark, sf)

@@ -58,7 +58,7 @@ def config_drift(spark, sf):
     return status.config_drift(rows(("k1", "1.2"), ("b", "0.75"), ("old", "2")), rows(("k1", "1.2"), ("b", "0.5"), ("new", "1")))
 
 
-@query("systematic_sample", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS i, count(*) OVER () AS n FROM documents) SELECT doc_id FROM r WHERE floor((i + 1) / (n / 37.0)) > floor(i / (n / 37.0))")
+@query("systematic_sample", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents) SELECT doc_id FROM r WHERE floor((i + 1) / (n / 37.0)) > floor(i / (n / 37.0))")
 def systematic_sample(spark, sf):
     return status.systematic_sample(V.table(spark, sf, "documents").select("doc_id"), "doc_id", 37)
 

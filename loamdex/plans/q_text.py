@@ -60,6 +60,16 @@ def url_extract(spark, sf):
     return u.where(X.external_url("url").isNotNull()).groupBy("page_id", "url").agg(F.count("*").alias("n"))
 
 
+OWN_LINKS = "html || '<a href=\"https://site' || page_id % 7 || '.example.org:80/p?q=' || page_id || '\">x</a><a href=\"ftp://a.b/c\"><a href=\"http://u@a.b/\"><a href=\"http://nodot/\"><a href=\"HTTP://a.b\">'"
+
+
+@query("url_extract_external", f"WITH u AS (SELECT page_id, unnest(regexp_extract_all({OWN_LINKS}, 'href=\"([^\"]*)\"', 1)) AS url FROM pages) SELECT page_id, url, count(*) AS n FROM u WHERE regexp_full_match(url, '(?i)https?://[^\\s/@?#:]+\\.[^\\s/@?#:]+(:\\d+)?([/?#]\\S*)?') GROUP BY 1, 2")
+def url_extract_external(spark, sf):
+    """Whole pages with five more links, of which two are external addresses."""
+    u = V.table(spark, sf, "pages").select("page_id", F.explode(X.hrefs(F.expr(OWN_LINKS))).alias("url"))
+    return u.where(X.external_url("url").isNotNull()).groupBy("page_id", "url").agg(F.count("*").alias("n"))
+
+
 @query("page_urls", "SELECT page_id, url FROM pages WHERE regexp_full_match(url, '(?i)https?://[^\\s/@?#:]+\\.[^\\s/@?#:]+(:\\d+)?([/?#]\\S*)?')")
 def page_urls(spark, sf):
     return V.table(spark, sf, "pages").select("page_id", X.external_url("url").alias("url")).where("url is not null")
