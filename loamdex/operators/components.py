@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from loamdex.session import stored
+from loamdex.session import discard, stored
 
 MAX_ROUNDS = 64
 
@@ -15,7 +15,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     Alternates large-star and small-star steps until the edge set is a set of stars, which is tested before each
     round, so pairs that are stars already take none; the number of rounds grows with the logarithm of the longest
     path. Each round is two shuffles that pre-aggregate map-side, and its table is written to the shared folder, so
-    no lineage builds up and a lost executor repeats one round at most. Nothing of the graph comes to the driver.
+    no lineage builds up and a lost executor repeats one round at most; the table of the round before is deleted. Nothing of the graph comes to the driver.
     """
     pair = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
     nodes_alone = edges.where(F.col(src) == F.col(dst)).select(F.col(src).alias("node"), F.col(dst).alias("component"))
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         # small star: u and its smaller neighbours are tied to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "components")
+        before, now = now, stored(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "components")
+        discard(before)
     else:
         raise RuntimeError("components did not settle")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

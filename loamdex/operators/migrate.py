@@ -58,7 +58,9 @@ def plan(notes: DataFrame) -> DataFrame:
     first = F.array_position(F.transform("lines", key_of), "sources") - 1
     edit = lambda line, old, new, change: F.struct(line.cast("int").alias("line"), old.alias("old"), new.alias("new"), F.lit(change).alias("change"))
     nothing = F.lit(None).cast("string")
-    edits = [F.when(F.col("_new").isNotNull(), edit(first, F.get("lines", first.cast("int")), F.concat(F.lit("sources: "), "_new"), "sources numbered"))]
+    old, new = F.get("lines", first.cast("int")), F.concat(F.lit("sources: "), "_new")
+    # of two lines with the key the last is read and the first is written, so that may have been done already
+    edits = [F.when(F.col("_new").isNotNull() & (old != new), edit(first, old, new, "sources numbered"))]
     for key, origin in ORIGINS.items():
         wanted = F.col(key).isNull() & F.col(origin).isNotNull() & (F.col(origin) != "")
         edits.append(F.when(wanted, edit(F.size("lines"), nothing, F.concat(F.lit(f"{key}: "), quoted(F.col(origin))), f"{key} from {origin}")))
