@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import warnings
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loamdex.session import discard, stored
@@ -26,8 +29,8 @@ def whole_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *m
 SAMPLE_BYTES = 64 << 20
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, modulus: int, held_out: int, most_bytes: int = SAMPLE_BYTES) -> list:
-    """A bounded training sample: (text, label) pairs, at most ``per_class`` rows of either label and ``most_bytes`` in all.
+def sampled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, modulus: int, held_out: int, most_bytes: int = SAMPLE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text, y of a bounded training sample; the stored table it is read from): at most ``per_class`` rows of either label and ``most_bytes`` in all.
 
     Rows come from ``labels`` where crc32(doc_id) mod ``modulus`` is not ``held_out``, smallest
     xxhash64(doc_id) first, so the sample is the same on every run. Null ids and labels are left out;
@@ -56,9 +59,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
             taken.append(r["doc_id"])
     for y in {r["y"] for r in order} - {r["y"] for r in order if r["doc_id"] in set(taken)}:
         warnings.warn(f"every labelled text of class {y} is longer than {most_bytes // 2} bytes: none is in the sample", stacklevel=2)
-    rows = once.where(F.col("doc_id").isin(taken)).select("doc_id", "text", "y").collect() if taken else []
+    return once.where(F.col("doc_id").isin(taken) if taken else F.lit(False)).select("doc_id", "text", "y"), once
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, modulus: int, held_out: int, most_bytes: int = SAMPLE_BYTES) -> list:
+    """The rows of sampled() as (text, label) pairs on the driver, by doc_id."""
+    rows, once = sampled(docs, labels, label, per_class, modulus, held_out, most_bytes)
+    out = rows.collect()
+    discard(once)
+    return [(r.text, r.y) for r in sorted(out, key=lambda r: (r.doc_id, r.text))]
+
+
+def learned(learn: Callable[[list], object], docs: DataFrame, labels: DataFrame, label: str, per_class: int, modulus: int, held_out: int):
+    """What ``learn`` makes of the (text, label) pairs of sampled(), by doc_id, in one task of an executor: neither texts nor training come to the driver."""
+    rows, once = sampled(docs, labels, label, per_class, modulus, held_out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sorted(row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "y")), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn([(t, y) for _, t, y in held]))], pa.binary())], ["model"])
+
+    found = rows.repartition(1).mapInArrow(run, "model binary").collect()  # the sample is bounded
     discard(once)
-    return [(r.text, r.y) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
+    return pickle.loads(found[0]["model"]) if found else learn([])
 
 
 def text_hash(text_col: str = "text") -> Column:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from loamdex.llm.common import labelled_sample
+from loamdex.llm.common import learned
 
 #: Most labelled rows of each class to train on; a third of them calibrates.
 SAMPLE_PER_CLASS = 1500
@@ -181,8 +181,11 @@ def calibrate(field: LineField, texts: list[str], y: np.ndarray, weight: np.ndar
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = SAMPLE_PER_CLASS, modulus: int = 5, held_out: int = 0) -> LineField | None:
-    """Train on two thirds of a bounded labelled sample, calibrate on the rest. None without both classes."""
-    sample = labelled_sample(docs, labels, label, per_class, modulus, held_out)
+    """Train on two thirds of a bounded labelled sample, calibrate on the rest, in a task. None without both classes."""
+    return learned(learn, docs, labels, label, per_class, modulus, held_out)
+
+
+def learn(sample: list[tuple[str, int]]) -> LineField | None:
     y = np.array([v for _, v in sample], np.int64)
     if not len(y) or y.min() == y.max():
         return None
