@@ -135,9 +135,10 @@ def _spans(rule: Rule, number: int, flag: Column) -> dict[str, Column]:
     steps = {m: F.when(flag, F.regexp_extract_all("_text", java, 0)).otherwise(none)}
     steps[g] = F.when(F.size(m) > 0, F.regexp_extract_all("_text", java, rule.group)).otherwise(none) if rule.group else F.col(m)
     steps[p] = F.when(F.size(m) > 0, F.split("_text", rule.java, -1)).otherwise(none)
-    items = f"""zip_with(zip_with({m}, {g}, (a, b) -> named_struct('n', char_length(a), 'v', char_length(b))), slice({p}, 1, size({m})),
-        (a, b) -> named_struct('gap', char_length(b), 'n', a.n, 'v', a.v))"""
-    steps[b] = F.expr(f"if(size({m}) = 0, array(), transform(sequence(0, (size({m}) - 1) div {BLOCK}), i -> slice({items}, i * {BLOCK} + 1, {BLOCK})))")
+    i = f"_i{number}"
+    steps[i] = F.expr(f"""zip_with(zip_with({m}, {g}, (a, b) -> named_struct('n', char_length(a), 'v', char_length(b))), slice({p}, 1, size({m})),
+        (a, b) -> named_struct('gap', char_length(b), 'n', a.n, 'v', a.v))""")
+    steps[b] = F.expr(f"if(size({i}) = 0, array(), transform(sequence(0, (size({i}) - 1) div {BLOCK}), k -> slice({i}, k * {BLOCK} + 1, {BLOCK})))")
     # places are running sums: of whole blocks first, then inside each block, so that very many matches cost little more than few
     place = "array<struct<start:int, number:int, end:int, v:int>>"
     walk = f"""
@@ -192,15 +193,29 @@ def listed(spans: str, rules: list[Rule] = RULES) -> Column:
 def redact(docs: DataFrame, rules: list[Rule] = RULES, text_col: str = "text") -> DataFrame:
     """The documents with every span replaced by [REDACTED:kind]; overlapping spans fold into the first. n_chars follows.
 
-    The documents' columns may have any names. A text that is no string stays as it is unless it holds a secret.
+    The documents' columns may have any names. A text that is no string stays as it is unless it holds a secret. Texts are
+    cut in blocks of spans, each within its own stretch, so that very many secrets in one text cost little more than few.
     """
     names = docs.columns
     kinds = ", ".join(f"'{r.kind}'" for r in rules)
-    cut = f"""aggregate(spans, named_struct('at', 0, 'out', ''), (s, x) -> if(x.start >= s.at,
-        named_struct('at', x.end, 'out', concat(s.out, substring(_text, s.at + 1, x.start - s.at), '[REDACTED:', array({kinds})[x.number], ']')),
-        named_struct('at', greatest(s.at, x.end), 'out', s.out)), s -> concat(s.out, substring(_text, s.at + 1)))"""
+    # where the text is written up to before each block of spans: the largest end of all blocks before
+    ends = "array_max(transform({}, x -> x.end))"
+    starts = f"""aggregate(_blocks, named_struct('at', 0, 'out', cast(array() as array<int>)),
+        (s, b) -> named_struct('at', greatest(s.at, {ends.format("b")}), 'out', concat(s.out, array(s.at)))).out"""
+    stretches = f"""zip_with(_blocks, _starts, (b, at) -> named_struct('spans', b, 'at', at,
+        'text', substring(_text, at + 1, greatest(at, {ends.format("b")}) - at)))"""
+    cut = f"""transform(_stretches, p -> aggregate(p.spans, named_struct('at', p.at, 'out', ''), (s, x) -> if(x.start >= s.at,
+        named_struct('at', x.end, 'out', concat(s.out, substring(p.text, s.at - p.at + 1, x.start - s.at), '[REDACTED:', array({kinds})[x.number], ']')),
+        named_struct('at', greatest(s.at, x.end), 'out', s.out)), s -> s.out))"""
     found = _scanned(docs, rules, text_col).withColumn("_text", F.col("_row")[text_col].cast("string"))
-    found = found.withColumn("_new", F.when(F.size("spans") > 0, F.expr(cut)).otherwise(F.col("_text")))
+    steps = {
+        "_blocks": f"if(size(spans) = 0, array(), transform(sequence(0, (size(spans) - 1) div {BLOCK}), i -> slice(spans, i * {BLOCK} + 1, {BLOCK})))",
+        "_starts": starts,
+        "_stretches": stretches,
+        "_new": f"if(size(spans) = 0, _text, concat(array_join({cut}, ''), substring(_text, {ends.format('spans')} + 1)))",
+    }
+    for name, step in steps.items():
+        found = found.withColumn(name, F.expr(step))
     changed = {text_col: F.col("_new")}
     if "n_chars" in names:
         own = F.col("_row")["n_chars"]
