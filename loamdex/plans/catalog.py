@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loamdex.plans import registry
-from loamdex.plans import q_flow, q_graph, q_maintain, q_search, q_status, q_text  # noqa: F401  they register their queries
+from loamdex.plans import q_flow, q_graph, q_hygiene, q_maintain, q_search, q_status, q_text  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
