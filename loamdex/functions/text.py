@@ -152,6 +152,21 @@ def clip(text: str | Column, limit: int) -> Column:
     return F.when(F.char_length(t) > limit, F.concat(F.rtrim(F.substring(t, 1, limit)), F.lit("…"))).otherwise(t)
 
 
+def clean_desc(text: str | Column, limit: int = 240) -> Column:
+    """The first two sentences of 12 letters or more that open differently (first 40 letters, folded); without any the whole
+    text. White space is folded, what is over the limit is cut. Null texts are empty."""
+    t = F.btrim(F.regexp_replace(F.coalesce(col(text), F.lit("")), r"\s+", " "))
+    opening = lambda p: F.lower(F.substring(p, 1, 40))
+
+    def step(kept: Column, part: Column) -> Column:
+        p = F.btrim(part, F.lit(" .·"))
+        new = (F.size(kept) < 2) & (F.char_length(p) >= 12) & ((F.size(kept) == 0) | (opening(F.get(kept, F.lit(0))) != opening(p)))
+        return F.when(new, F.concat(kept, F.array(p))).otherwise(kept)
+
+    parts = F.aggregate(F.split(t, r"(?<=[.。!?])\s+"), F.array().cast("array<string>"), step)
+    return clip(F.when(F.size(parts) > 0, F.array_join(parts, ". ")).otherwise(t), limit)
+
+
 def first_sentence(text: str | Column, limit: int = 160) -> Column:
     t = F.btrim(F.regexp_replace(F.coalesce(col(text), F.lit("")), r"\s+", " "))
     cut = F.regexp_extract(t, r"^(.*?[.!?])(\s|$)", 1)

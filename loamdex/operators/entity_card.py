@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from loamdex import schema as S
 from loamdex.functions import text as X
 from loamdex.operators import gate, lookup
+from loamdex.session import stored
 
 #: Letters of the parts by which asked names meet the names that contain them.
 PART = 3
@@ -67,13 +68,14 @@ def cards(entities: DataFrame, asked: DataFrame, docs: DataFrame, blocked: DataF
     """
     bad = bool(as_of) and not re.fullmatch(r"\d{4}-\d{2}-\d{2}", as_of)
     cap, docs_cap = clamp(cap, 1, 50, S.CANDIDATE_CAP), clamp(docs_cap, 1, 100, S.DOCS_CAP)
-    found = resolve_all(entities, asked)
+    found = stored(resolve_all(entities, asked), "card-matches")  # read by the gate, the answers and the candidates
     judged = gate.verdicts(entities.join(found.select("entity_id").distinct(), "entity_id", "left_semi").select("entity_id", "doc_ids"), blocked, "entity_id").select("entity_id", "verdict")
     judged = found.join(judged, "entity_id").where("tier < 3 or verdict <> 'block'")
-    placed = judged.withColumn("place", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("degree"), "entity_id")))
+    placed = judged.withColumn("place", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("degree"), "entity_id"))).where(f"place <= {cap}")
+    placed = stored(placed, "card-places")
     hits = placed.where("tier < 3 and place = 1").select("asked", "entity_id", F.col("verdict").alias("_verdict"))
-    few = placed.where(f"tier = 3 and place <= {cap}").groupBy("asked").agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("_c"))
-    shown = gate.release(entities.join(hits.select("entity_id").distinct(), "entity_id", "left_semi"), blocked, "entity_id")
+    few = placed.where("tier = 3").groupBy("asked").agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("_c"))
+    shown = stored(gate.release(entities.join(hits.select("entity_id").distinct(), "entity_id", "left_semi"), blocked, "entity_id"), "card-entities")
     when = lookup.as_of(shown, as_of if as_of and not bad else "9999-12-31").select("entity_id", "change_count", "latest_change", "changes_after", "not_yet")
     owned = lookup.docs_of(shown, docs, "entity_id", docs_cap).select("entity_id", "docs", "total", "truncated")
     body = shown.select("entity_id", X.safe_name("name").alias("matched"), X.safe_name("type", 40).alias("type"), "degree", "description", "first_seen", F.size("events").alias("events_total"))

@@ -161,12 +161,19 @@ def canvas_links(spark, sf):
     return records.canvas_links(V.table(spark, sf, "nation").select(F.col("n_name").alias("path"), raw.alias("raw")))
 
 
-@query("okf_documents", """SELECT doc_id, concat(E'---\\ntitle: "', lang, E'"\\ntype: "note"\\ncreated: "2024-01-01"\\nsource: ""\\n---\\n\\n', lang) AS value FROM documents""")
+@query("okf_documents", """SELECT doc_id, concat(E'---\\ntitle: "', lang, E'"\\ntype: "note"\\ncreated: "2024-01-01"\\nsource: ""\\n---\\n\\n', text) AS value FROM documents""")
 def okf_documents(spark, sf):
-    d = V.table(spark, sf, "documents").selectExpr("doc_id", "lang AS path", "lang AS title", "'note' AS doc_type", "'2024-01-01' AS doc_date", "CAST(NULL AS STRING) AS source_url", "lang AS text")
+    d = V.table(spark, sf, "documents").selectExpr("doc_id", "lang AS path", "lang AS title", "'note' AS doc_type", "'2024-01-01' AS doc_date", "CAST(NULL AS STRING) AS source_url", "text")
     return sinks.okf_document(d).select("doc_id", "value")
 
 
+@query("clean_descriptions", r"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents), p AS (SELECT doc_id, t, list_filter(list_transform(string_split(regexp_replace(t, '([.。!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' .·')), lambda x: length(x) >= 12) AS p FROM t),
+    s AS (SELECT doc_id, t, p[1] AS a, list_filter(p, lambda x: lower(substr(x, 1, 40)) <> lower(substr(p[1], 1, 40)))[1] AS b FROM p), o AS (SELECT doc_id, CASE WHEN a IS NULL THEN t WHEN b IS NULL THEN a ELSE concat(a, '. ', b) END AS o FROM s)
+    SELECT doc_id, CASE WHEN length(o) > 240 THEN concat(rtrim(substr(o, 1, 240)), '…') ELSE o END AS description FROM o""")
+def clean_descriptions(spark, sf):
+    return spread(V.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", X.clean_desc("text").alias("description"))
+
+
 @query("extraction_batches", f"WITH {chunk_cte()} SELECT chunk_id, CAST(floor((row_number() OVER (ORDER BY CAST(chunk_id AS VARCHAR)) - 1) / 50) AS BIGINT) AS batch FROM chunks")
 def extraction_batches(spark, sf):
     c = chunks(spark, sf).withColumn("chunk_id", F.col("chunk_id").cast("string"))

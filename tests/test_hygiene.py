@@ -3,9 +3,8 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
-from loamdex.functions import masking
+from loamdex.functions import masking, text as X
 from loamdex.operators import entity_card, hygiene
 
 FEW = [(n, p) for n, p in masking.PATTERNS if n in ("AWS_KEY", "GENERIC_SECRET")]
@@ -138,3 +137,14 @@ def test_cards(spark):
     assert (s["error"], s["matched"], s["description"], s["degree"], s["events_total"], [d["doc_id"] for d in s["docs"]]) == (None, "Solo", "", None, 1, [1])
     assert {r["error"] for r in entity_card.cards(e, asked, docs, blocked, "yesterday").collect()} == {"bad_date"}
     assert {r["error"] for r in entity_card.cards(e.limit(0), asked, docs, blocked).collect()} == {"graph_empty"}
+
+
+def test_clean_desc(spark):
+    long = "An opening that is the same for at least forty letters, "
+    cases = {
+        "Short. This one is long enough. And a second one here! A third one that goes.": "This one is long enough. And a second one here!",
+        f"{long}one. {long.upper()}two. Something else at last.": f"{long}one. Something else at last",
+        "  tiny \n text ": "tiny text", "": "", None: "", "x" * 300: "x" * 240 + "…",
+    }
+    for text, want in cases.items():
+        assert one(spark, X.clean_desc("t"), text) == want
