@@ -140,6 +140,23 @@ def test_one_of_each_and_empty(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_dedup_by_shuffles_and_hot_nodes(spark, monkeypatch):
+    """Nothing broadcast and every node hot gives the same documents as the short way."""
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(12)] + [f"other text number {i} " * 9 for i in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    short = sorted(r["doc_id"] for r in minhash.one_of_each(docs).collect())
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(minhash, "HOT_ROWS", 1)
+    assert sorted(r["doc_id"] for r in minhash.one_of_each(docs).collect()) == short
+    sets = [minhash.shingle_set(t.encode(), 5) for t in texts]
+    linked = lambda a, b: len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b])) - 1e-9
+    root = list(range(len(texts)))
+    for _ in texts:
+        root = [min(root[b] for b in range(len(texts)) if linked(a, b)) for a in range(len(texts))]
+    assert short == sorted(set(root))
+
+
 def test_one_of_each_of_repeated_ids(spark):
     words = [f"w{i}" for i in range(60)]
     a, b = " ".join(words), " ".join(reversed(words))
