@@ -102,6 +102,17 @@ def test_every_restored_mask(spark):
     assert masking.masked(spark.createDataFrame([("X-Postmark-Server-Token: " + "a1-" * 9,)], "text string")).first()["text"] == "X-Postmark-Server-Token: [REDACTED:POSTMARK_TOKEN]"
 
 
+def test_masking_is_worked_out_once_and_needs_hold(spark):
+    from loamdex.operators import hygiene
+
+    frame = spark.createDataFrame([("password = " + "A1" * 16,), ("PassWord=" + "b2" * 8 + " COOKIE: sid=abcdefgh1",)], "text string")
+    changed = hygiene.remask(frame)
+    plan = changed._jdf.queryExecution().optimizedPlan().toString()
+    pattern = dict(masking.PATTERNS)["JWT"]
+    assert 0 < plan.count(pattern) <= 2 and set(masking.NEEDS) == set(dict(masking.PATTERNS))  # one count, one replacement
+    assert [r["mask_counts"] for r in changed.orderBy("text").collect()] == [{"GENERIC_SECRET": 1, "COOKIE": 1}, {"GENERIC_SECRET": 1}]
+
+
 def test_masking_against_plain(spark):
     import re
 
