@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from loamdex.session import stored
+
 
 def placed(run: DataFrame) -> DataFrame:
     """Adds place (from 1) by score within a query, ties to the smaller document."""
@@ -45,8 +50,19 @@ def grid(step: float = 0.1, parts: int = 4) -> list[tuple[float, ...]]:
 
 
 def sweep(normed: DataFrame, weights: DataFrame) -> DataFrame:
-    """gid, qid, doc_id, score for each row of a bounded weight grid (gid, comp, w): scores are computed once, weighed many times."""
-    return normed.join(F.broadcast(weights), "comp").groupBy("gid", "qid", "doc_id").agg(F.sum(F.col("norm") * F.col("w")).alias("score"))
+    """gid, qid, doc_id, score for each row of a bounded weight grid (gid, comp, w): scores are computed once, weighed many times.
+
+    A document's components meet once, whatever the grid, and are weighed where they lie.
+    """
+    once = weights.groupBy("gid", "comp").agg(F.sum("w").alias("w")).groupBy("gid").agg(F.map_from_entries(F.collect_list(F.struct("comp", "w"))).alias("_w"))
+    each = normed.groupBy("qid", "doc_id").agg(F.collect_list(F.struct("comp", "norm")).alias("_c"))
+    rows = each.crossJoin(F.broadcast(once)).withColumn("_c", F.filter("_c", lambda c: F.map_contains_key("_w", c["comp"]))).where(F.size("_c") > 0)
+
+    def add(s: Column, c: Column) -> Column:
+        x = c["norm"] * F.try_element_at(F.col("_w"), c["comp"])
+        return F.coalesce(s + x, s, x)
+
+    return rows.select("gid", "qid", "doc_id", F.aggregate("_c", F.lit(None).cast("double"), add).alias("score"))
 
 
 def overlap(members: DataFrame, label: str = "label", item: str = "item") -> DataFrame:
@@ -82,18 +98,78 @@ def signed_rank(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     return float(w), float(erfc(abs(w - n * (n + 1) / 4) / sqrt(var) / sqrt(2))) if var > 0 else 1.0
 
 
+#: Distinct differences of a comparison that are drawn from together.
+DRAWN_TOGETHER = 1 << 16
+
+
+def rank_sums(tally: DataFrame) -> DataFrame:
+    """comparison, wp, wm (rank sums of positive and negative differences), m (their number), ties of (comparison, d, n).
+
+    Sizes of differences are dealt by ranges; a size's rank is its place in its range after the ranges before.
+    """
+    sizes = tally.where("d <> 0").groupBy("comparison", F.abs("d").alias("size")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("n")).otherwise(0)).alias("plus"))
+    parts = int(tally.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(sizes.repartitionByRange(parts, "comparison", "size").withColumn("piece", F.spark_partition_id()), "rank-sizes")
+    pieces = dealt.groupBy("comparison", "piece").agg(F.sum("n").alias("_n"))  # a row a partition and comparison
+    before = pieces.select("comparison", "piece", (F.sum("_n").over(Window.partitionBy("comparison").orderBy("piece")) - F.col("_n")).alias("before"))
+    upto = F.sum("n").over(Window.partitionBy("comparison", "piece").orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
+    rank = F.col("before") + F.col("upto") - (F.col("n") - 1) / 2
+    each = dealt.withColumn("upto", upto).join(F.broadcast(before), ["comparison", "piece"]).withColumn("rank", rank)
+    cubes = F.col("n").cast("double") * F.col("n") * F.col("n") - F.col("n")
+    return each.groupBy("comparison").agg(F.sum(F.col("rank") * F.col("plus")).alias("wp"), F.sum(F.col("rank") * (F.col("n") - F.col("plus"))).alias("wm"), F.sum("n").alias("m"), F.sum(cubes).alias("ties"))
+
+
+def resampled(tally: DataFrame, seed: int, resamples: int) -> DataFrame:
+    """comparison, r, mean: bootstrap means of the differences (comparison, d, n).
+
+    A draw of all differences is a draw of how many fall into each block, and then of those within it: counts of blocks come
+    from one generator, known to all tasks, and each block draws on its own. Equal differences are drawn together.
+    """
+    sized = tally.groupBy("comparison").agg(F.count("*").alias("_k"))
+    block = F.pmod(F.xxhash64("d"), F.ceil(F.col("_k") / DRAWN_TOGETHER)).cast("int")
+    dealt = stored(tally.join(F.broadcast(sized), "comparison").select("comparison", block.alias("block"), "d", "n"), "bootstrap-blocks")
+    shares = dealt.groupBy("comparison", "block").agg(F.sum("n").alias("n")).groupBy("comparison").agg(F.array_sort(F.collect_list(F.struct("block", "n"))).alias("shares"))  # a row a block
+
+    def draw(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values("d")
+        d, n = own["d"].to_numpy(float), own["n"].to_numpy(np.int64)
+        blocks = [(s["block"], s["n"]) for s in pdf["shares"].iloc[0]]
+        sizes = np.array([x for _, x in blocks], np.int64)
+        at = [b for b, _ in blocks].index(key[1])
+        name = zlib.crc32(str(key[0]).encode())
+        common, mine = np.random.default_rng([seed, name]), np.random.default_rng([seed, name, key[1] + 1])
+        whole, sums = sizes.sum(), np.empty(resamples)
+        for r in range(resamples):
+            sums[r] = mine.multinomial(common.multinomial(whole, sizes / whole)[at], n / n.sum()) @ d
+        return pd.DataFrame({"comparison": key[0], "r": np.arange(resamples), "sum": sums, "whole": whole})
+
+    held = dealt.join(F.broadcast(shares), "comparison")
+    sums = held.groupBy("comparison", "block").applyInPandas(draw, "comparison string, r int, sum double, whole long")
+    return sums.groupBy("comparison", "r").agg((F.sum("sum") / F.first("whole")).alias("mean"))
+
+
+def _two_sided(w: float, m: int, ties: float) -> float:
+    var = m * (m + 1) * (2 * m + 1) / 24 - ties / 48
+    return math.erfc(abs(w - m * (m + 1) / 4) / math.sqrt(var) / math.sqrt(2)) if var > 0 else 1.0
+
+
 def compare(scores: DataFrame, seed: int = 7, resamples: int = 1000) -> DataFrame:
-    """comparison, n, delta, low, high (bootstrap 95 %), dz, w, p, p_bh for rows (comparison, a, b) of paired scores."""
+    """comparison, n, delta, low, high (bootstrap 95 %), dz, w, p, p_bh for rows (comparison, a, b) of paired scores.
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        d = (pdf["a"] - pdf["b"]).to_numpy(float)
-        w, p = signed_rank(pdf["a"].to_numpy(), pdf["b"].to_numpy())
-        means = np.random.default_rng(seed).choice(d, (resamples, len(d))).mean(axis=1)
-        sd = d.std(ddof=1) if len(d) > 1 else 0.0
-        low, high = np.percentile(means, [2.5, 97.5])
-        return pd.DataFrame([(key[0], len(d), d.mean(), low, high, d.mean() / sd if sd else 0.0, w, p)], columns="comparison n delta low high dz w p".split())
-
-    out = scores.groupBy("comparison").applyInPandas(one, "comparison string, n long, delta double, low double, high double, dz double, w double, p double")
+    Comparisons are few; the pairs of one are folded into a tally of equal differences and never meet in one task.
+    """
+    difference = (F.coalesce(F.col("a").cast("double"), F.lit(float("nan"))) - F.coalesce(F.col("b").cast("double"), F.lit(float("nan")))).alias("d")
+    tally = stored(scores.select("comparison", difference).groupBy("comparison", "d").agg(F.count("*").alias("n")), "differences")
+    total = F.sum("n")
+    heads = tally.groupBy("comparison").agg(total.alias("n"), (F.sum(F.col("d") * F.col("n")) / total).alias("delta"))
+    off = tally.join(F.broadcast(heads.select("comparison", "delta")), "comparison").groupBy("comparison").agg(F.sum(F.pow(F.col("d") - F.col("delta"), 2) * F.col("n")).alias("_ss"))
+    ends = resampled(tally, seed, resamples).groupBy("comparison").agg(F.expr("percentile(mean, array(0.025, 0.975))").alias("e"))
+    sd = F.when(F.col("n") > 1, F.sqrt(F.col("_ss") / (F.col("n") - 1))).otherwise(0.0)
+    w = F.coalesce(F.least("wp", "wm"), F.lit(0.0))
+    out = heads.join(off, "comparison").join(ends, "comparison").join(rank_sums(tally), "comparison", "left").select(
+        "comparison", "n", "delta", F.get("e", F.lit(0)).alias("low"), F.get("e", F.lit(1)).alias("high"), F.when(sd != 0, F.col("delta") / sd).otherwise(0.0).alias("dz"),
+        w.alias("w"), F.coalesce(F.udf(_two_sided, "double")(w, F.coalesce("m", F.lit(0)), F.coalesce("ties", F.lit(0.0))), F.lit(1.0)).alias("p"),
+    )
     return benjamini_hochberg(out)
 
 
