@@ -25,11 +25,12 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of near-duplicates (5-word shingles, exact Jaccard similarity 0.8 or more).
+    """Keep the smallest doc_id of each group of near-duplicates over 5-word shingles.
 
-    Candidates are the classes of SimHash multi-index hashing, completed by MinHash bands, which reach down to 0.8.
+    Links are SimHash fingerprints within 3 bits, found by multi-index hashing, and beyond those an exact Jaccard similarity
+    of 0.8 or more, whose candidates are the same tables' entries, completed by MinHash bands, which reach down to 0.8.
     """
-    return minhash.one_of_each(docs, words=5, least=0.8, seed=42)
+    return minhash.one_of_each(docs, words=5, least=0.8, seed=42, bits=3)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

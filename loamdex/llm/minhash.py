@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loamdex.llm.common import BROADCAST_ROWS, first_of_each, text_hash
-from loamdex.llm.simhash import fold_bits, probes, shingles
+from loamdex.llm.simhash import fold_bits, links, probes, shingles
 from loamdex.operators.components import connected_components
 from loamdex.session import discard, stored
 
@@ -245,13 +245,24 @@ def remaining(beside: DataFrame, linked: DataFrame, signs: DataFrame, alike, lea
     return with_big.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(among).distinct()
 
 
+def simhash_links(nodes: DataFrame, bits: int) -> DataFrame:
+    """Pairs (a, b) of nodes that tie all whose fingerprints are equal or, found by multi-index hashing and verified by the whole distance, within ``bits``."""
+    of = stored(nodes.groupBy("fp").agg(F.min("node").alias("node")), "minhash-prints")  # one node stands for a fingerprint
+    side = lambda x: of.select(F.col("fp").alias(x), F.col("node").alias(f"n{x}"))
+    near = links(of.select("fp"), bits).distinct().join(side("a"), "a").join(side("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    equal = nodes.select(F.col("node").alias("b"), "fp").join(of.withColumnRenamed("node", "a"), "fp").where("a <> b").select("a", "b")
+    return near.unionByName(equal)
+
+
 def _repeats(marked: DataFrame) -> bool:
     return not marked.groupBy(F.col("doc_id"), F.col("_th")).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
-def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, seed: int = 42) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, seed: int = 42, bits: int | None = None) -> DataFrame:
     """The documents without near-duplicates: of each component of links the row with the smallest doc_id stays.
 
+    With ``bits`` fingerprints within that many bits (0 to 3) are links too, as those of near_duplicates() in simhash are.
+
     Texts without a word are copies of each other. Of rows that repeat a doc_id and text one stays. Rows with a
     null id cannot be told apart and all stay. Very long texts are taken whole, their shingles in blocks. An empty
     table gives no rows.
@@ -261,6 +272,8 @@ def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, seed: int =
     same = [F.first(c).alias(c) for c in ("size", "fp", "bands", "map")]  # equal in all rows of a node
     nodes = stored(marked.groupBy("node").agg(F.min(row).alias("any"), F.min(F.when(F.col("doc_id").isNotNull(), row)).alias("least"), *same), "minhash-nodes")
     linked = components(docs, marked, nodes, words, least, seed)
+    if bits is not None:
+        linked, _ = tied(linked, stored(simhash_links(nodes, bits), "minhash-prints-met"))
     kept = first_of_each(docs, marked, nodes.join(linked, "node", "left").select(F.coalesce("component", "node").alias("root"), "least"))
     discard(marked, nodes)  # what is kept hangs on the documents and on the table of those that go
     return kept

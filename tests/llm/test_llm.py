@@ -216,6 +216,22 @@ def test_hot_fingerprints_keep_their_rows(spark):
     assert len(got) == len(rows) and {r["component_id"] for r in got if r["fp"] in (5, 7)} == {0}  # 0 is two bits from 5
 
 
+def test_near_dedup_stage_links_by_fingerprints_too(spark):
+    """Two texts within 3 bits whose sets share less than 0.8: the named method links them, sets alone do not."""
+    import corpus_pipeline as cp
+
+    def pair(i):
+        base = [f"s{i}w{j}" for j in range(48)]
+        return " ".join(base), " ".join([*base[:20], "changed", *base[21:]])
+
+    prints = lambda x, y: ((simhash.fingerprint(x.encode(), 5) ^ simhash.fingerprint(y.encode(), 5)) & (1 << 64) - 1).bit_count()
+    near = next(pair(i) for i in range(20000) if 1 <= prints(*pair(i)) <= 3)
+    far = next(pair(i) for i in range(20000) if prints(*pair(i)) > 6)
+    docs = table(spark, [*near, *far], False)
+    assert sorted(r["doc_id"] for r in minhash.one_of_each(docs).collect()) == [0, 1, 2, 3]
+    assert sorted(r["doc_id"] for r in cp.near_dedup(spark, docs, "").collect()) == [0, 2, 3]
+
+
 def test_near_dedup_stage_drops_copies_of_similarity_over_08(spark):
     import corpus_pipeline as cp
 
