@@ -157,7 +157,7 @@ def communities(edges: DataFrame, least_gain: float = 1e-6) -> DataFrame:
     would gain move (the half changes by hash, so that two nodes do not swap for ever). Rounds go on while modularity
     rises by ``least_gain``; then communities become the nodes of the next level, until a level merges nothing. A round
     shuffles edges twice and is written to the shared folder, from where the round before it is deleted; only its
-    modularity comes to the driver. A community is named after its smallest node.
+    modularity comes to the driver. Joins are merged: tables that are broadcast would pass the driver in every round. A community is named after its smallest node.
     """
     both = doubled(edges).where("src is not null and dst is not null")
     now = stored(both.groupBy("src", "dst").agg(F.sum(F.lit(1.0)).alias("w")), "louvain-edges")
@@ -167,14 +167,14 @@ def communities(edges: DataFrame, least_gain: float = 1e-6) -> DataFrame:
         mass = now.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k"))
         moved = _moves(now, mass, whole, least_gain)
         names = moved.groupBy("community").agg(F.min("id").alias("name"))
-        found = stored(moved.join(names, "community").select("id", F.col("name").alias("community")), "louvain-found")
+        found = stored(moved.join(names.hint("merge"), "community").select("id", F.col("name").alias("community")), "louvain-found")
         size = found.agg(F.count("*").alias("n"), F.countDistinct("community").alias("left")).first()
-        before, label = label, stored(label.join(found.select(F.col("id").alias("community"), F.col("community").alias("_to")), "community").select("id", F.col("_to").alias("community")), "louvain-label")
+        before, label = label, stored(label.join(found.select(F.col("id").alias("community"), F.col("community").alias("_to")).hint("merge"), "community").select("id", F.col("_to").alias("community")), "louvain-label")
         discard(before, moved)
         if size["left"] == size["n"]:
             discard(now, found)
             break
-        ends = now.join(found.select(F.col("id").alias("src"), F.col("community").alias("a")), "src").join(found.select(F.col("id").alias("dst"), F.col("community").alias("b")), "dst")
+        ends = now.join(found.select(F.col("id").alias("src"), F.col("community").alias("a")).hint("merge"), "src").join(found.select(F.col("id").alias("dst"), F.col("community").alias("b")).hint("merge"), "dst")
         before, now = now, stored(ends.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")), "louvain-edges")
         discard(before, found)
     return label
@@ -186,9 +186,9 @@ def _moves(now: DataFrame, mass: DataFrame, whole: float, least_gain: float) ->
     best, kept, quiet = None, own, 0
     for turn in itertools.count():
         tot = own.groupBy("community").agg(F.sum("k").alias("t"))
-        near = now.join(own.select(F.col("id").alias("dst"), F.col("community").alias("c")), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.sum("w").alias("w"), F.sum(F.when(F.col("src") == F.col("dst"), F.col("w")).otherwise(0.0)).alias("loop"))
-        mine = own.join(tot.withColumnRenamed("t", "own_t"), "community")
-        seen = stored(near.join(tot.select(F.col("community").alias("c"), "t"), "c").join(mine, "id"), "louvain-seen")
+        near = now.join(own.select(F.col("id").alias("dst"), F.col("community").alias("c")).hint("merge"), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.sum("w").alias("w"), F.sum(F.when(F.col("src") == F.col("dst"), F.col("w")).otherwise(0.0)).alias("loop"))
+        mine = own.join(tot.withColumnRenamed("t", "own_t").hint("merge"), "community")
+        seen = stored(near.join(tot.select(F.col("community").alias("c"), "t").hint("merge"), "c").join(mine.hint("merge"), "id"), "louvain-seen")
         stay = F.col("c") == F.col("community")
         score = (seen.agg(F.sum(F.when(stay, F.col("w") / whole))).first()[0] or 0.0) - (tot.agg(F.sum((F.col("t") / whole) ** 2)).first()[0] or 0.0)
         if best is None or score > best + least_gain:

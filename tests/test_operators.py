@@ -275,6 +275,15 @@ def test_alias_pairs(spark):
     assert sorted((r["a"], r["b"], r["why"]) for r in resolve.alias_pairs(e).collect()) == [(1, 2, "fused spelling"), (3, 4, "abbreviation")]
 
 
+def test_louvain_broadcasts_nothing(spark, monkeypatch):
+    plans, stored = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df, label))
+    edges = [(a, b) for c in (0, 10) for a in range(c, c + 5) for b in range(a + 1, c + 5)] + [(0, 10)]
+    found = {r["id"]: r["community"] for r in graph.communities(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert found == {i: i // 10 * 10 for c in (0, 10) for i in range(c, c + 5)}
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_signed_rank_and_bh(spark):
     w, p = ev.signed_rank(np.arange(1, 11), np.zeros(10))
     assert w == 0 and 0.004 < p < 0.006
