@@ -69,6 +69,27 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score(docs, None).collect()} == {0.0}
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """A bad word stands in few rows, so a sample of the labels misses most of them; shards of 10 rows."""
+    rng = random.Random(5)
+    rows = [(i, " ".join([rng.choice(["the", "lake", "stone", "letter", "and"]) for _ in range(8)] + ([f"{chr(97 + i // 4 % 20) * 4}x"] if i % 4 == 0 else [])), int(i % 4 == 0)) for i in range(800)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(7, None), (None, 1)], "doc_id long, toxic int")
+    net = toxicity.fit(docs, labels, per_class=5)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, net).collect()}
+    assert np.mean([got[i] >= 0.3 for i, _, y in rows if y]) > 0.95 and np.mean([got[i] >= 0.3 for i, _, y in rows if not y]) < 0.05
+    again = toxicity.fit(docs.repartition(3), labels.repartition(2), per_class=5)
+    assert np.array_equal(net.weights(), again.weights()) and np.array_equal(net.shift, again.shift)
+    table = toxicity.labelled(docs, labels, "toxic", 4, 2, 10)
+    learned = sorted(t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2)
+    assert sorted(r.text for r in table.collect()) == learned and table.select("shard").distinct().count() > 20
+    seen, wanted = toxicity.feature_counts(table), np.zeros((2, toxicity.BUCKETS))
+    for i, t, y in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            wanted[y, list({b for w in t.split() for b in toxicity.features(w)})] += 1
+    assert np.array_equal(seen, wanted)
+
+
 def test_pooling_in_blocks(monkeypatch):
     net = toxicity.Network()
     words = [f"w{i}" for i in range(50)]
